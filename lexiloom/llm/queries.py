@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import grouping, overlap
+from lexiloom.llm import encode, grouping, overlap
 from lexiloom.plans.session import table
 
 
@@ -16,5 +16,6 @@ QUERIES = {
     "p5_found": _on(grouping.p5_found, "parallel", "entity_redirects"),
     "p5_splits": _on(grouping.p5_splits, "parallel", "entity_redirects"),
     "p5_balance": _on(grouping.p5_balance, "parallel", "entity_redirects"),
+    "p6_ids": _on(encode.p6_ids, "documents"),
 }
 ORACLES: dict[str, str] = {}
