@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import encode, grouping, overlap
+from lexiloom.llm import encode, grouping, leaks, overlap
 from lexiloom.plans.session import table
 
 
@@ -17,5 +17,7 @@ QUERIES = {
     "p5_splits": _on(grouping.p5_splits, "parallel", "entity_redirects"),
     "p5_balance": _on(grouping.p5_balance, "parallel", "entity_redirects"),
     "p6_ids": _on(encode.p6_ids, "documents"),
+    "p7_found": _on(leaks.leaked_items, "documents", "eval_items"),
+    "p7_report": _on(leaks.p7_report, "documents", "eval_items"),
 }
 ORACLES: dict[str, str] = {}
