@@ -17,7 +17,7 @@ LOOKALIKES = {
 }
 _FOLD = str.maketrans(LOOKALIKES | {"ı": "i", "ß": "ss"})
 _TAG = re.compile(r"<[^<>]{1,200}>")
-_MARKS = re.compile("[̀-ͯؐ-ًؚ-ٰٟـ]+")
+_MARKS = re.compile("[\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0670ـ]+")
 _DROP = regex.compile(r"[^\p{L}\p{M}\p{Nd}]+")
 
 
