@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import consistent, encode, grouping, leaks, overlap, responses
+from lexiloom.llm import consistent, encode, grouping, languages, leaks, overlap, responses
 from lexiloom.plans.session import table
 
 
@@ -23,5 +23,8 @@ QUERIES = {
     "p2_forms": _on(consistent.p2_forms, "flat"),
     "p4_found": _on(responses.response_defects, "flat", "entity_labels"),
     "p4_report": _on(responses.p4_report, "flat", "entity_labels"),
+    "p8_found": _on(languages.p8_found, "documents", "eval_items"),
+    "p8_labels": _on(languages.p8_labels, "documents", "eval_items"),
+    "p8_segments": _on(languages.p8_segments, "documents", "eval_items"),
 }
 ORACLES: dict[str, str] = {}
