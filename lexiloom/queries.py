@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexiloom.operators import heavy_keys
+from lexiloom.plans import analysis, cleaning, registry, sampled  # noqa: F401  (fills the registry)
 from lexiloom.plans.session import table
 
 SPLITS = ("train", "validation", "test")
@@ -23,3 +24,5 @@ ORACLES = {
     "p3_objects": _PROFILE.format(k="object_id"),
     "p3_relations": _PROFILE.format(k="relation"),
 }
+QUERIES |= registry.QUERIES
+ORACLES |= registry.ORACLES
