@@ -49,7 +49,7 @@ _REDIRECTS = f"""r as (select {_id('old_id', 'Q')} as a, {_id('new_id', 'Q')} as
 _FACTS = f"""with recursive {_REDIRECTS}, f as (select row_id, split, source, coalesce({_id('subject_id', 'Q')}, {_part(1)}) as s0, coalesce({_id('property_id', 'P')}, {_part(2)}) as p, coalesce({_id('object_id', 'Q')}, {_part(3)}) as o0 from parallel),
  g as (select row_id, split, source, coalesce(x.b, s0) as s, p, coalesce(y.b, o0) as o from f left join last x on s0 = x.a left join last y on o0 = y.a)"""
 _GROUPS = f"""with recursive {_REDIRECTS}, f as (select row_id, {_id('subject_id', 'Q')} as a, {_part(1)} as b from parallel), e as (select a, b from f where a <> b union select a, b from r where a <> b),
- both as (select a, b from e union select b, a from e), reach as (select a, b from both union select reach.a, both.b from reach join both on reach.b = both.a),
+ sides as (select a, b from e union select b, a from e), reach as (select a, b from sides union select reach.a, sides.b from reach join sides on reach.b = sides.a),
  label as (select a, least(a, min(b)) as label from reach group by a), g as (select row_id, coalesce(label, f.a, f.b) as g from f left join label on label.a = coalesce(f.a, f.b)),
  m as (select g, min(row_id) as row_a from g where g is not null group by g)"""
 ORACLES = {
