@@ -74,7 +74,10 @@ def mentions(text: Column, subject: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, as texts; empty where there are fewer."""
+    """All runs of n tokens, as texts; empty where there are fewer.
+
+    tokens should be a column of an inner select, not an expression, or each run evaluates it anew.
+    """
     at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " "))
 

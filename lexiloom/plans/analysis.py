@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
@@ -11,7 +11,11 @@ from lexiloom.operators import windows as W
 from lexiloom.plans.cleaning import NORM
 from lexiloom.plans.registry import query
 
-CNT = F.count(F.lit(1))
+
+
+def rows_() -> Column:
+    """The number of rows; made when asked for, as a module can be imported without a session."""
+    return F.count(F.lit(1))
 
 # Joins
 
@@ -48,7 +52,7 @@ def split_overlap(parallel):
     s = parallel.select("split", "fact_id").where("fact_id is not null").distinct()
     per = s.groupBy("fact_id").agg(F.array_sort(F.collect_set("split")).alias("in")).where("size(in) > 1")  # three splits
     a = per.select("fact_id", F.posexplode("in").alias("i", "split_a"), "in")
-    return a.select("split_a", F.explode(F.expr("slice(in, i + 2, 10)")).alias("split_b")).groupBy("split_a", "split_b").agg(CNT.alias("n"))
+    return a.select("split_a", F.explode(F.expr("slice(in, i + 2, 10)")).alias("split_b")).groupBy("split_a", "split_b").agg(rows_().alias("n"))
 
 
 @query("j8_flat_parallel", "flat", "parallel", sql="""with p as (select fact_id, max(n_langs_verified) as n, min(subject) as subject from parallel where fact_id is not null group by 1), f as (select fact_id, max(n_langs_verified) as n, min(subject) as subject from flat where fact_id is not null group by 1)
@@ -64,14 +68,14 @@ def flat_parallel(flat, parallel):
  select language, count(*) as n, count(*) filter (where answer_text = en) as same from flat join e using (fact_id) where language <> 'en' group by 1""")
 def english_reference(flat):
     e = flat.where("language = 'en' and fact_id is not null").groupBy("fact_id").agg(F.min("answer_text").alias("en"))
-    return flat.where("language <> 'en'").select("fact_id", "language", "answer_text").join(e, "fact_id").groupBy("language").agg(CNT.alias("n"), F.count_if(F.col("answer_text") == F.col("en")).alias("same"))
+    return flat.where("language <> 'en'").select("fact_id", "language", "answer_text").join(e, "fact_id").groupBy("language").agg(rows_().alias("n"), F.count_if(F.col("answer_text") == F.col("en")).alias("same"))
 
 
 @query("j10_option_resolution", "flat", "entity_labels", sql="""with o as (select row_id, language, unnest([option_a, option_b, option_c, option_d]) as option from flat), l as (select distinct language, label from (select unnest(map_keys(labels)) as language, unnest(map_values(labels)) as label from entity_labels))
  select o.language, count(*) as n, count(l.label) as resolved from o left join l on o.language = l.language and o.option = l.label group by 1""")
 def option_resolution(flat, labels):
     o = flat.select("language", F.explode(F.array(*[f"option_{x}" for x in "abcd"])).alias("option"))
-    n = o.groupBy("language", "option").agg(CNT.alias("n"))  # combined first: a frequent option is one row
+    n = o.groupBy("language", "option").agg(rows_().alias("n"))  # combined first: a frequent option is one row
     said = labels.select(F.explode("labels").alias("language", "label")).distinct()
     hit = n.join(said, (n.language == said.language) & (n.option == said.label), "left").select(n.language, "n", "label")
     return hit.groupBy("language").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label").isNotNull(), F.col("n")).otherwise(0)).alias("resolved"))
@@ -110,15 +114,16 @@ def phrase_join(documents, labels):
  d as (select distinct array_to_string(w[i:i + 7], ' ') as g from (select w, unnest(range(1, len(w) - 6)) as i from (select string_split({NORM.format('text')}, ' ') as w from documents where text is not null)))
  select count(distinct item_id) as n_items from b where g in (select g from d)""")
 def verbatim_reuse(documents, items):
-    grams = lambda d, c: T.ngrams(F.split(T.norm(F.col(c)), " "), 8)
-    b = items.where("lang not in ('ja', 'zh')").select("item_id", F.explode(grams(items, "passage")).alias("g")).select("item_id", F.xxhash64("g").alias("h"), "g").distinct()
-    d = documents.where("text is not null").select(F.explode(grams(documents, "text")).alias("g")).select(F.xxhash64("g").alias("h"), F.col("g").alias("dg"))
+    words = lambda c: F.split(T.norm(F.col(c)), " ").alias("w")
+    gram = F.explode(T.ngrams(F.col("w"), 8)).alias("g")
+    b = items.where("lang not in ('ja', 'zh')").select("item_id", words("passage")).select("item_id", gram).select("item_id", F.xxhash64("g").alias("h"), "g").distinct()
+    d = documents.where("text is not null").select(words("text")).select(gram).select(F.xxhash64("g").alias("h"), F.col("g").alias("dg"))
     return b.join(d, (b.h == d.h) & (b.g == d.dg), "left_semi").agg(F.countDistinct("item_id").alias("n_items"))
 
 
 @query("j20_verdicts", "flat", sql="select language, coalesce(question_verified::varchar, 'unreviewed') as verdict, count(*) as n from flat group by 1, 2")
 def verdicts(flat):
-    return flat.groupBy("language", F.coalesce(F.col("question_verified").cast("string"), F.lit("unreviewed")).alias("verdict")).agg(CNT.alias("n"))
+    return flat.groupBy("language", F.coalesce(F.col("question_verified").cast("string"), F.lit("unreviewed")).alias("verdict")).agg(rows_().alias("n"))
 
 
 @query("j21_set_difference", "flat", "parallel", sql="""select (select count(*) from (select fact_id from flat except select fact_id from parallel)) as extra, (select count(*) from (select fact_id from parallel except select fact_id from flat)) as missing""")
@@ -129,7 +134,7 @@ def set_difference(flat, parallel):
 
 @query("j22_manifest", "orders", "lineitem", sql="select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem) or o_orderkey in (select l_orderkey from lineitem group by 1 having count(*) < 2)")
 def manifest(orders, lineitem):
-    n = lineitem.groupBy("l_orderkey").agg(CNT.alias("n"))
+    n = lineitem.groupBy("l_orderkey").agg(rows_().alias("n"))
     return orders.join(n, orders.o_orderkey == n.l_orderkey, "left").where("n is null or n < 2").select("o_orderkey")
 
 
@@ -137,7 +142,7 @@ def manifest(orders, lineitem):
 def subsets(parallel, redirects):
     o, n = redirects.select("old_id").distinct(), redirects.select("new_id").distinct()
     x = parallel.select("subject_id").join(o, F.col("subject_id") == o.old_id, "left").join(n, F.col("subject_id") == n.new_id, "left")
-    return x.groupBy(F.when(F.col("old_id").isNotNull(), "stale").when(F.col("new_id").isNotNull(), "merged").otherwise("clean").alias("subset")).agg(CNT.alias("n"))
+    return x.groupBy(F.when(F.col("old_id").isNotNull(), "stale").when(F.col("new_id").isNotNull(), "merged").otherwise("clean").alias("subset")).agg(rows_().alias("n"))
 
 
 @query("j26_shared_ids", "flat", sql="select fact_id from flat where language in ('en', 'de', 'es', 'fr') and fact_id is not null group by 1 having count(distinct language) = 4")
@@ -149,7 +154,7 @@ def shared_ids(flat):
 def language_pairs(flat):
     per = flat.where("fact_id is not null").groupBy("fact_id").agg(F.array_sort(F.collect_set("language")).alias("langs"))  # twelve languages
     pairs = F.flatten(F.transform("langs", lambda a, i: F.transform(F.slice("langs", i + 2, 20), lambda b: F.struct(a.alias("lang_a"), b.alias("lang_b")))))
-    return per.select(F.explode(pairs).alias("p")).groupBy("p.lang_a", "p.lang_b").agg(CNT.alias("n"))
+    return per.select(F.explode(pairs).alias("p")).groupBy("p.lang_a", "p.lang_b").agg(rows_().alias("n"))
 
 
 @query("j29_nearest_neighbour", "embeddings", sql="""with q as (select vec_id, embedding::double[] as e from embeddings where vec_id % 100 = 0), c as (select vec_id as other, embedding::double[] as f from embeddings)
@@ -172,7 +177,7 @@ def localised_label(parallel, labels):
 
 @query("a1_relation_counts", "parallel", sql="select relation, count(*) as n from parallel group by 1 order by n desc, relation")
 def relation_counts(parallel):
-    return parallel.groupBy("relation").agg(CNT.alias("n")).orderBy(F.desc("n"), "relation")
+    return parallel.groupBy("relation").agg(rows_().alias("n")).orderBy(F.desc("n"), "relation")
 
 
 @query("a2_languages_per_fact", "flat", sql="select fact_id, count(distinct language) as n from flat group by 1 having count(distinct language) >= 3")
@@ -193,19 +198,19 @@ def ambiguous_questions(flat):
 @query("a5_mode_label", "flat", sql="""with c as (select option_ids[2] as id, language, option_b as label, count(*) as n, min(row_id) as first from flat where option_b is not null group by 1, 2, 3)
  select id, language, label, n from (select *, row_number() over (partition by id, language order by n desc, first) as r from c) where r = 1""")
 def mode_label(flat):
-    c = flat.where("option_b is not null").groupBy(F.get("option_ids", F.lit(1)).alias("id"), "language", F.col("option_b").alias("label")).agg(CNT.alias("n"), F.min("row_id").alias("first"))
+    c = flat.where("option_b is not null").groupBy(F.get("option_ids", F.lit(1)).alias("id"), "language", F.col("option_b").alias("label")).agg(rows_().alias("n"), F.min("row_id").alias("first"))
     return c.groupBy("id", "language").agg(F.max(F.struct("n", (-F.col("first")).alias("f"), "label")).alias("m")).select("id", "language", "m.label", "m.n")
 
 
 @query("a6_label_variants", "flat", sql=f"""select id, language, count(distinct label) as n, count(distinct {NORM.format('label')}) as n_loose from (select option_ids[1] as id, language, option_a as label from flat where option_a is not null) group by 1, 2 having count(distinct label) > 1""")
 def label_variants(flat):
     x = flat.where("option_a is not null").select(F.get("option_ids", F.lit(0)).alias("id"), "language", F.col("option_a").alias("label")).distinct()
-    return x.groupBy("id", "language").agg(CNT.alias("n"), F.countDistinct(T.norm(F.col("label"))).alias("n_loose")).where("n > 1")
+    return x.groupBy("id", "language").agg(rows_().alias("n"), F.countDistinct(T.norm(F.col("label"))).alias("n_loose")).where("n > 1")
 
 
 @query("a7_conditional_counts", "flat", sql="select language, count(*) as n, count(*) filter (where question is null) as no_question, count(*) filter (where answer_index is null) as no_index, count(*) filter (where question_verified) as verified, count(*) filter (where question_regenerated is null) as unclaimed from flat group by 1")
 def conditional_counts(flat):
-    return flat.groupBy("language").agg(CNT.alias("n"), F.count_if(F.col("question").isNull()).alias("no_question"), F.count_if(F.col("answer_index").isNull()).alias("no_index"), F.count_if("question_verified").alias("verified"), F.count_if(F.col("question_regenerated").isNull()).alias("unclaimed"))
+    return flat.groupBy("language").agg(rows_().alias("n"), F.count_if(F.col("question").isNull()).alias("no_question"), F.count_if(F.col("answer_index").isNull()).alias("no_index"), F.count_if("question_verified").alias("verified"), F.count_if(F.col("question_regenerated").isNull()).alias("unclaimed"))
 
 
 @query("a8_position_histogram", "flat", sql="""select language, p0, p1, p2, p3, round(100.0 * (greatest(p0, p1, p2, p3) - least(p0, p1, p2, p3)) / (p0 + p1 + p2 + p3), 4) as range_pp from (select language, count(*) filter (where answer_index = 0) p0, count(*) filter (where answer_index = 1) p1, count(*) filter (where answer_index = 2) p2, count(*) filter (where answer_index = 3) p3 from flat group by 1)""")
@@ -219,7 +224,7 @@ def position_histogram(flat):
 @query("a9_k_of_n", "flat", sql="select k, count(*) as n_facts from (select fact_id, count(distinct language) filter (where question_verified) as k from flat where fact_id is not null group by 1) group by 1")
 def k_of_n(flat):
     k = flat.where("fact_id is not null").groupBy("fact_id").agg(F.countDistinct(F.when(F.col("question_verified"), F.col("language"))).alias("k"))
-    return k.groupBy("k").agg(CNT.alias("n_facts"))
+    return k.groupBy("k").agg(rows_().alias("n_facts"))
 
 
 @query("a10_rate_matrix", "flat", sql="""select relation, round(avg(v) filter (where language = 'en'), 6) as en, round(avg(v) filter (where language = 'de'), 6) as de, round(avg(v) filter (where language = 'ru'), 6) as ru, round(avg(v), 6) as mean from (select relation, language, question_verified::int as v from flat) group by 1""")
@@ -232,16 +237,16 @@ def rate_matrix(flat):
  select relation, count(*) as n_distinct, max(n) as top1, sum(n) filter (where r <= 10) as top10, sum(n) as total from (select *, row_number() over (partition by relation order by n desc, text) as r from d) group by 1""")
 def distractor_concentration(flat):
     o = flat.where("language = 'en'").select("relation", "object", F.explode(F.array(*[f"option_{x}" for x in "abcd"])).alias("text")).where("text is not null and not (text <=> object)")
-    d = o.groupBy("relation", "text").agg(CNT.alias("n"))
+    d = o.groupBy("relation", "text").agg(rows_().alias("n"))
     r = d.withColumn("r", F.row_number().over(Window.partitionBy("relation").orderBy(F.desc("n"), "text")))
-    return r.groupBy("relation").agg(CNT.alias("n_distinct"), F.max("n").alias("top1"), F.sum(F.when(F.col("r") <= 10, F.col("n"))).alias("top10"), F.sum("n").alias("total"))
+    return r.groupBy("relation").agg(rows_().alias("n_distinct"), F.max("n").alias("top1"), F.sum(F.when(F.col("r") <= 10, F.col("n"))).alias("top10"), F.sum("n").alias("total"))
 
 
 @query("a12_off_pool", "flat", sql="""with g as (select distinct relation, object from flat where language = 'en'), d as (select row_id, relation, unnest([option_a, option_b, option_c, option_d]) as o from flat where language = 'en')
  select count(*) as n, count(*) filter (where not exists (select 1 from g where g.relation = d.relation and g.object = d.o)) as off_relation, count(*) filter (where not exists (select 1 from g where g.object = d.o)) as off_all from d where o is not null and relation is not null""")
 def off_pool(flat):
     en = flat.where("language = 'en'")
-    d = en.select("relation", F.explode(F.array(*[f"option_{x}" for x in "abcd"])).alias("o")).where("o is not null and relation is not null").groupBy("relation", "o").agg(CNT.alias("n"))
+    d = en.select("relation", F.explode(F.array(*[f"option_{x}" for x in "abcd"])).alias("o")).where("o is not null and relation is not null").groupBy("relation", "o").agg(rows_().alias("n"))
     g = en.select(F.col("relation").alias("gr"), F.col("object").alias("go")).distinct()
     h = g.select(F.col("go").alias("ho")).distinct()
     x = d.join(g, (d.relation == g.gr) & (d.o == g.go), "left").join(h, d.o == h.ho, "left")
@@ -265,11 +270,11 @@ def heuristics(flat):
  b as (select row_id, split, object, arg_max(opt, (n, md5(opt))) as best from s group by 1, 2, 3) select split, count(*) as n_items, count(*) filter (where best = object) as n_hit from b group by 1""")
 def frequency_prior(flat):
     en = flat.where("language = 'en'")
-    t = en.where("split = 'train'").groupBy(F.col("object").alias("opt")).agg(CNT.alias("n"))
+    t = en.where("split = 'train'").groupBy(F.col("object").alias("opt")).agg(rows_().alias("n"))
     o = en.select("row_id", "split", "object", F.explode(F.array(*[f"option_{x}" for x in "abcd"])).alias("opt")).where("opt is not null").join(t, "opt", "left")
     n = F.coalesce("n", F.lit(0)) - F.when((F.col("split") == "train") & (F.col("opt") == F.col("object")), 1).otherwise(0)
     b = o.groupBy("row_id", "split", "object").agg(F.max_by("opt", F.struct(n, F.md5("opt"))).alias("best"))
-    return b.groupBy("split").agg(CNT.alias("n_items"), F.count_if(F.col("best") == F.col("object")).alias("n_hit"))
+    return b.groupBy("split").agg(rows_().alias("n_items"), F.count_if(F.col("best") == F.col("object")).alias("n_hit"))
 
 
 @query("a15_length_ratio", "flat", sql="with m as (select language, median(length(question)) as med from flat group by 1) select language, med, round(med / (select med from m where language = 'en'), 6) as ratio from m")
@@ -297,7 +302,7 @@ def split_gap(parallel):
 def overlap_shares(parallel):
     v = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"{k}_id").alias("v")) for k in ("subject", "object", "property")])).alias("c")
     x = parallel.select("split", v).select("split", "c.*").where("v is not null").groupBy("field", "v").agg(F.bool_or(F.col("split") == "train").alias("in_train"), F.bool_or(F.col("split") == "test").alias("in_test"))
-    return x.where("in_test").groupBy("field").agg(F.count_if("in_train").alias("shared"), CNT.alias("n_test"))
+    return x.where("in_test").groupBy("field").agg(F.count_if("in_train").alias("shared"), rows_().alias("n_test"))
 
 
 @query("a21_verdict_rollup", "flat", sql="select language, count(*) filter (where question_verified) as ok, count(*) filter (where not question_verified) as defect, count(*) filter (where question_verified is null) as unreviewed from flat group by rollup (language)")
@@ -316,7 +321,7 @@ def wilson_interval(flat):
 
 @query("a23_extrapolation", "flat", sql="with s as (select language, count(*) as size, avg((not question_verified)::int) as rate from flat group by 1) select round(sum(size * rate) / sum(size), 6) as rate, sum(size) as n from s")
 def extrapolation(flat):
-    s = flat.groupBy("language").agg(CNT.alias("size"), F.avg((~F.col("question_verified")).cast("int")).alias("rate"))
+    s = flat.groupBy("language").agg(rows_().alias("size"), F.avg((~F.col("question_verified")).cast("int")).alias("rate"))
     return s.agg(F.round(F.sum(F.col("size") * F.col("rate")) / F.sum("size"), 6).alias("rate"), F.sum("size").alias("n"))
 
 
@@ -330,13 +335,13 @@ def length_summary(documents):
 
 @query("a25_thresholds", "flat", sql="select n_langs_verified, count(*) as n, count(*) filter (where length(question) > 50) as over_50, count(*) filter (where length(question) > 100) as over_100 from flat group by 1")
 def thresholds(flat):
-    return flat.groupBy("n_langs_verified").agg(CNT.alias("n"), *[F.count_if(F.length("question") > k).alias(f"over_{k}") for k in (50, 100)])
+    return flat.groupBy("n_langs_verified").agg(rows_().alias("n"), *[F.count_if(F.length("question") > k).alias(f"over_{k}") for k in (50, 100)])
 
 
 @query("a26_split_statistics", "flat", sql="select split, count(*) as n, sum(length(question) // 4) as tokens, round(avg(length(question) // 4), 6) as mean, min(length(question) // 4) as lo, max(length(question) // 4) as hi from flat group by 1")
 def split_statistics(flat):
     t = T.estimated_tokens(F.col("question"))
-    return flat.groupBy("split").agg(CNT.alias("n"), F.sum(t).alias("tokens"), F.round(F.avg(t), 6).alias("mean"), F.min(t).alias("lo"), F.max(t).alias("hi"))
+    return flat.groupBy("split").agg(rows_().alias("n"), F.sum(t).alias("tokens"), F.round(F.avg(t), 6).alias("mean"), F.min(t).alias("lo"), F.max(t).alias("hi"))
 
 
 @query("a29_macro_average", "flat", sql="""with a as (select language, avg((answer_index = 0)::int) as acc from flat group by 1) select case when language in ('en', 'de', 'es', 'fr', 'ru', 'zh', 'ja') then 'high' else 'low' end as tier, round(avg(acc), 6) as macro from a group by 1""")
@@ -355,7 +360,7 @@ def pivot_delta(lineitem):
 @query("a33_profile_distance", "lineitem", sql="""with m as (select l_returnflag as flag, month(l_shipdate) as m, count(*) as n from lineitem group by 1, 2), c as (select flag, m, sum(n) over (partition by flag order by m) * 1.0 / sum(n) over (partition by flag) as p from m)
  select a.flag, round(max(abs(a.p - b.p)), 6) as ks from c a join c b on a.m = b.m and b.flag = 'A' where a.flag <> 'A' group by 1""")
 def profile_distance(lineitem):
-    m = lineitem.groupBy(F.col("l_returnflag").alias("flag"), F.month("l_shipdate").alias("m")).agg(CNT.alias("n"))  # months a flag
+    m = lineitem.groupBy(F.col("l_returnflag").alias("flag"), F.month("l_shipdate").alias("m")).agg(rows_().alias("n"))  # months a flag
     w = Window.partitionBy("flag")
     c = m.select("flag", "m", (F.sum("n").over(w.orderBy("m")) / F.sum("n").over(w)).alias("p"))
     base = c.where("flag = 'A'").select("m", F.col("p").alias("q"))
@@ -393,23 +398,23 @@ def first_occurrence(flat):
 
 @query("w5_full_parts", "documents", sql="select source, part, count(*) as n from (select source, (row_number() over (partition by source order by doc_id) - 1) // 4 as part from documents) group by 1, 2 having count(*) = 4")
 def full_parts(documents):
-    return W.parts(documents.select("source", "doc_id"), ["source"], ["doc_id"], 4, False).groupBy("source", "part").agg(CNT.alias("n"))
+    return W.parts(documents.select("source", "doc_id"), ["source"], ["doc_id"], 4, False).groupBy("source", "part").agg(rows_().alias("n"))
 
 
 @query("w6_all_parts", "documents", sql="select source, part, count(*) as n from (select source, (row_number() over (partition by source order by doc_id) - 1) // 4 as part from documents) group by 1, 2")
 def all_parts(documents):
-    return W.parts(documents.select("source", "doc_id"), ["source"], ["doc_id"], 4, True).groupBy("source", "part").agg(CNT.alias("n"))
+    return W.parts(documents.select("source", "doc_id"), ["source"], ["doc_id"], 4, True).groupBy("source", "part").agg(rows_().alias("n"))
 
 
 @query("w7_cumulative", "lineitem", sql="select flag, m, sum(q) over (partition by flag order by m) as upto from (select l_returnflag as flag, strftime(l_shipdate, '%Y-%m') as m, count(*) as q from lineitem group by 1, 2)")
 def cumulative(lineitem):
-    q = lineitem.groupBy(F.col("l_returnflag").alias("flag"), F.date_format("l_shipdate", "yyyy-MM").alias("m")).agg(CNT.alias("q"))
+    q = lineitem.groupBy(F.col("l_returnflag").alias("flag"), F.date_format("l_shipdate", "yyyy-MM").alias("m")).agg(rows_().alias("q"))
     return q.select("flag", "m", F.sum("q").over(Window.partitionBy("flag").orderBy("m")).alias("upto"))
 
 
 @query("w8_best_second", "parallel", sql="select source, relation, n, r from (select source, relation, count(*) as n, row_number() over (partition by source order by count(*) desc, relation) as r from parallel where relation is not null group by 1, 2) where r <= 2")
 def best_second(parallel):
-    n = parallel.where("relation is not null").groupBy("source", "relation").agg(CNT.alias("n"))
+    n = parallel.where("relation is not null").groupBy("source", "relation").agg(rows_().alias("n"))
     return n.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "relation"))).where("r <= 2")
 
 
@@ -417,7 +422,7 @@ def best_second(parallel):
 def runs(events):
     a, b = Window.partitionBy("user_id").orderBy("ts", "event_id"), Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     x = events.select("user_id", "event_type", (F.row_number().over(a) - F.row_number().over(b)).alias("run"))
-    return x.groupBy("user_id", "event_type", "run").agg(CNT.alias("n")).select("user_id", "run", "n")
+    return x.groupBy("user_id", "event_type", "run").agg(rows_().alias("n")).select("user_id", "run", "n")
 
 
 @query("w10_zscore", "lineitem", sql="select l_orderkey, l_linenumber, round((l_extendedprice - avg(l_extendedprice) over w) / (stddev_pop(l_extendedprice) over w + 1e-6), 3) + 0.0 as z from lineitem window w as (partition by l_orderkey)")
@@ -438,15 +443,15 @@ def top_share(embeddings):
 
 @query("o6_quantile_select", "parallel", sql="""with c as (select source, relation, count(*) as n from parallel where relation is not null group by 1, 2), q as (select source, quantile_cont(n, 0.8) as t from c group by 1), s as (select source, relation from c join q using (source) where n >= t) select source, relation from s where relation not in (select relation from s group by 1 having count(*) >= 6)""")
 def quantile_select(parallel):
-    c = parallel.where("relation is not null").groupBy("source", "relation").agg(CNT.alias("n"))
+    c = parallel.where("relation is not null").groupBy("source", "relation").agg(rows_().alias("n"))
     q = c.groupBy("source").agg(F.percentile("n", 0.8).alias("t"))
     s = c.join(q, "source").where("n >= t").select("source", "relation")
-    return s.join(s.groupBy("relation").agg(CNT.alias("k")).where("k >= 6"), "relation", "left_anti").select("source", "relation")
+    return s.join(s.groupBy("relation").agg(rows_().alias("k")).where("k >= 6"), "relation", "left_anti").select("source", "relation")
 
 
 @query("o7_most_common", "parallel", sql="select object, count(*) as n from parallel where object is not null group by 1 order by n desc, object limit 20")
 def most_common(parallel):
-    return parallel.where("object is not null").groupBy("object").agg(CNT.alias("n")).orderBy(F.desc("n"), "object").limit(20)
+    return parallel.where("object is not null").groupBy("object").agg(rows_().alias("n")).orderBy(F.desc("n"), "object").limit(20)
 
 
 @query("o10_examples", "flat", sql="select language, row_id from (select language, row_id, row_number() over (partition by language order by row_id) as r from flat where question is null) where r <= 3")
@@ -476,4 +481,4 @@ def difference(parallel):
 
 @query("u8_duplicates", "flat", sql="select language, count(*) - count(distinct fact_id) as n_repeated from flat group by 1")
 def duplicates(flat):
-    return flat.groupBy("language").agg((CNT - F.countDistinct("fact_id")).alias("n_repeated"))
+    return flat.groupBy("language").agg((rows_() - F.countDistinct("fact_id")).alias("n_repeated"))

@@ -261,8 +261,8 @@ def byte_length(documents):
 @query("t_ngrams", "eval_items", sql=rf"""with t as (select item_id, string_split({NORM.format('passage')}, ' ') as w from eval_items where lang not in ('ja', 'zh'))
  select item_id, count(distinct array_to_string(w[i:i + 7], ' ')) as n from (select item_id, w, unnest(range(1, len(w) - 6)) as i from t) group by 1""")
 def ngrams(items):
-    w = F.split(T.norm(F.col("passage")), " ")
-    return items.where("lang not in ('ja', 'zh')").select("item_id", F.explode(T.ngrams(w, 8)).alias("g")).groupBy("item_id").agg(F.countDistinct("g").alias("n"))
+    w = items.where("lang not in ('ja', 'zh')").select("item_id", F.split(T.norm(F.col("passage")), " ").alias("w"))
+    return w.select("item_id", F.explode(T.ngrams(F.col("w"), 8)).alias("g")).groupBy("item_id").agg(F.countDistinct("g").alias("n"))
 
 
 @query("t_first_line", "documents", sql=r"select doc_id, trim(list_filter(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x) <> '')[1]) as line from documents")

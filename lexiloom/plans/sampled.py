@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.stats import dot, uniform
@@ -10,7 +10,11 @@ from lexiloom.operators import metrics as M
 from lexiloom.operators import sampling as S
 from lexiloom.plans.registry import query
 
-CNT = F.count(F.lit(1))
+
+
+def rows_() -> Column:
+    """The number of rows; made when asked for, as a module can be imported without a session."""
+    return F.count(F.lit(1))
 U = "(('0x' || substr(md5({}), 1, 8))::bigint + 0.5::double) / 4294967296::double"
 #: Scores that stand in for a model's: four numbers that row and option decide.
 SCORES = "[" + ", ".join(U.format(f"row_id || '|{i}'") for i in range(4)) + "]"
@@ -33,14 +37,14 @@ def round_robin(parallel):
 @query("d3_weighted_draw", "parallel", sql=f"""with w as (select relation, object_id, count(*) as n from parallel where relation is not null and object_id is not null group by 1, 2)
  select relation, object_id, draw from (select *, row_number() over (partition by relation order by -ln({U.format("object_id || '|42'")}) / n, object_id) as draw from w) where draw <= 3""")
 def weighted_draw(parallel):
-    w = parallel.where("relation is not null and object_id is not null").groupBy("relation", "object_id").agg(CNT.alias("n"))
+    w = parallel.where("relation is not null and object_id is not null").groupBy("relation", "object_id").agg(rows_().alias("n"))
     return S.weighted_draw(w, ["relation"], "object_id", "n", 3).select("relation", "object_id", "draw")
 
 
 @query("d4_share_cap", "parallel", sql="""with c as (select relation, object_id, count(*) as n from parallel where relation is not null group by 1, 2), t as (select relation, sum(n) as total from c group by 1)
  select row_id from (select row_id, row_number() over (partition by p.relation, p.object_id order by md5(row_id || '|42'), row_id) as r, greatest(1, floor(0.2 * total)) as cap from parallel p join t on p.relation = t.relation) where r <= cap""")
 def share_cap(parallel):
-    t = parallel.where("relation is not null").groupBy("relation").agg(CNT.alias("total"))
+    t = parallel.where("relation is not null").groupBy("relation").agg(rows_().alias("total"))
     r = F.row_number().over(Window.partitionBy("relation", "object_id").orderBy(S.order_key("row_id", 42), "row_id"))
     x = parallel.select("row_id", "relation", "object_id").join(t, "relation").withColumn("r", r)
     return x.where(F.col("r") <= F.greatest(F.lit(1), F.floor(0.2 * F.col("total")))).select("row_id")
@@ -58,7 +62,7 @@ def option_shuffle(flat):
 @query("d6_largest_remainder", "parallel", sql="""with c as (select coalesce(relation, '') as relation, count(*) as n from parallel group by 1), e as (select relation, n, n * 200.0::double / sum(n) over () as x from c), f as (select *, floor(x) as fl, round(x - floor(x), 9) as rest from e)
  select relation, (fl + case when row_number() over (order by rest desc, relation) <= 200 - sum(fl) over () then 1 else 0 end)::bigint as quota from f""")
 def largest_remainder(parallel):
-    c = parallel.groupBy(F.coalesce("relation", F.lit("")).alias("relation")).agg(CNT.alias("n"))
+    c = parallel.groupBy(F.coalesce("relation", F.lit("")).alias("relation")).agg(rows_().alias("n"))
     return S.largest_remainder(c, "n", "relation", 200).select("relation", "quota")
 
 
@@ -69,7 +73,7 @@ def stratified(documents):
 
 @query("d9_ratio_split", "documents", sql="select doc_id, case when r <= greatest(1, floor(n * 0.1)) then 'validation' else 'train' end as part from (select doc_id, row_number() over (partition by source order by md5(doc_id || '|42'), doc_id) as r, count(*) over (partition by source) as n from documents)")
 def ratio_split(documents):
-    n = documents.groupBy(F.col("source").alias("s")).agg(CNT.alias("n"))
+    n = documents.groupBy(F.col("source").alias("s")).agg(rows_().alias("n"))
     r = F.row_number().over(Window.partitionBy("source").orderBy(S.order_key("doc_id", 42), "doc_id"))
     x = documents.select("doc_id", "source").withColumn("r", r).join(n, F.col("source").eqNullSafe(F.col("s")))
     return x.select("doc_id", F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.1)), "validation").otherwise("train").alias("part"))
@@ -130,7 +134,7 @@ def agreement_kinds(flat):
 
 @query("m8_rewards", "flat", sql=f"select fact_id, round(sum(case when pred = gold then 1.0 else -0.5 end), 6) as reward, round(pow(avg((pred = gold)::int), 2), 6) as bonus from {JUDGED} group by 1")
 def rewards(flat):
-    x = predictions(flat).groupBy("fact_id").agg(F.sum(F.when(F.col("correct"), 1.0).otherwise(-0.5)).alias("r"), F.count_if("correct").alias("k"), CNT.alias("n"))
+    x = predictions(flat).groupBy("fact_id").agg(F.sum(F.when(F.col("correct"), 1.0).otherwise(-0.5)).alias("r"), F.count_if("correct").alias("k"), rows_().alias("n"))
     return x.select("fact_id", F.round("r", 6).alias("reward"), F.round(M.bonus(F.col("k"), F.col("n"), "power"), 6).alias("bonus"))
 
 
@@ -148,14 +152,14 @@ def preference_pair(embeddings):
     x = embeddings.select("label", "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     cells = x.select("label", F.posexplode("v").alias("i", "c")).groupBy("label", "i").agg(F.sum("c").alias("c"))
     total = cells.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda p: p["c"]).alias("total"))
-    n = x.groupBy("label").agg(CNT.alias("n"))
+    n = x.groupBy("label").agg(rows_().alias("n"))
     m = x.join(total, "label").join(n, "label").where("n > 1").select("label", "vec_id", F.round((dot(F.col("v"), F.col("total")) - dot(F.col("v"), F.col("v"))) / (F.col("n") - 1), 5).alias("m"))
     return m.groupBy("label").agg(F.max_by("vec_id", F.struct("m", -F.col("vec_id"))).alias("chosen"), F.min_by("vec_id", F.struct("m", "vec_id")).alias("rejected"))
 
 
 @query("m13_entropy", "events", sql="""with c as (select user_id, event_type, count(*) as n from events group by 1, 2), p as (select *, n::double / sum(n) over (partition by user_id) as p from c) select user_id, round(-sum(p * ln(p + 1e-9)), 6) as entropy, arg_max(event_type, (p, event_type)) as dominant from p group by 1""")
 def unit_entropy(events):
-    c = events.groupBy("user_id", "event_type").agg(CNT.alias("n"))
+    c = events.groupBy("user_id", "event_type").agg(rows_().alias("n"))
     p = c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("user_id")))  # a row an event type
     return p.groupBy("user_id").agg(F.round(-F.sum(F.col("p") * F.ln(F.col("p") + 1e-9)), 6).alias("entropy"), F.max_by("event_type", F.struct("p", "event_type")).alias("dominant"))
 
@@ -163,10 +167,10 @@ def unit_entropy(events):
 @query("m14_top_overlap", "flat", sql="""with t as (select language, o, row_number() over (partition by language order by count(*) desc, o) as r from (select language, option_ids[1] as o from flat) group by 1, 2), k as (select language, o from t where r <= 50)
  select a.language as lang_a, b.language as lang_b, count(*) * 2.0 as pct from k a join k b on a.o = b.o and a.language < b.language group by 1, 2""")
 def top_overlap(flat):
-    n = flat.groupBy("language", F.get("option_ids", F.lit(0)).alias("o")).agg(CNT.alias("n"))
+    n = flat.groupBy("language", F.get("option_ids", F.lit(0)).alias("o")).agg(rows_().alias("n"))
     k = n.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "o"))).where("r <= 50")
     b = k.select("o", F.col("language").alias("lang_b"))
-    return k.select("o", F.col("language").alias("lang_a")).join(b, "o").where("lang_a < lang_b").groupBy("lang_a", "lang_b").agg((CNT * 2.0).alias("pct"))
+    return k.select("o", F.col("language").alias("lang_a")).join(b, "o").where("lang_a < lang_b").groupBy("lang_a", "lang_b").agg((rows_() * 2.0).alias("pct"))
 
 
 @query("m18_weighted_loss", "lineitem", sql="select l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 6) as loss, round(exp(sum(l_discount * l_quantity) / sum(l_quantity)), 6) as perplexity from lineitem group by 1")
@@ -217,7 +221,7 @@ def integrity(flat):
     o = F.array(*[f"option_{x}" for x in "abcd"])
     checks = {"no question": F.col("question").isNull(), "no answer": F.col("answer_text").isNull(), "no index": F.col("answer_index").isNull(), "answer off index": F.col("answer_index").isNotNull() & ~F.get(o, F.col("answer_index").cast("int")).eqNullSafe(F.col("answer_text")), "no subject": F.col("subject").isNull()}
     found = F.array_compact(F.array(*[F.when(c, k) for k, c in checks.items()]))
-    return flat.select(F.explode(found).alias("category")).groupBy("category").agg(CNT.alias("n"))
+    return flat.select(F.explode(found).alias("category")).groupBy("category").agg(rows_().alias("n"))
 
 
 @query("n11_flags", "flat", sql="select row_id, case when question_verified and question_regenerated then null else question_verified end as flag from flat")
