@@ -114,7 +114,7 @@ def phrase_join(documents, labels):
  d as (select distinct array_to_string(w[i:i + 7], ' ') as g from (select w, unnest(range(1, len(w) - 6)) as i from (select string_split({NORM.format('text')}, ' ') as w from documents where text is not null)))
  select count(distinct item_id) as n_items from b where g in (select g from d)""")
 def verbatim_reuse(documents, items):
-    words = lambda c: F.split(T.norm(F.col(c)), " ").alias("w")
+    words = lambda c: F.explode(F.array(F.split(T.norm(F.col(c)), " "))).alias("w")  # noqa: E731  (a generator's output isn't evaluated again)
     gram = F.explode(T.ngrams(F.col("w"), 8)).alias("g")
     b = items.where("lang not in ('ja', 'zh')").select("item_id", words("passage")).select("item_id", gram).select("item_id", F.xxhash64("g").alias("h"), "g").distinct()
     d = documents.where("text is not null").select(words("text")).select(gram).select(F.xxhash64("g").alias("h"), F.col("g").alias("dg"))

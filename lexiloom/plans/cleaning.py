@@ -8,8 +8,8 @@ from lexiloom.functions import text as T
 from lexiloom.plans.registry import query
 
 NORM = r"trim(regexp_replace(lower({}), '[^\pL\pN]+', ' ', 'g'))"
-LEAK = r"""case when language in ('ja', 'zh') then length(lower(trim(answer_text))) >= 2 and contains(lower(question), lower(trim(answer_text)))
- else length(lower(trim(answer_text))) >= 3 and regexp_matches(lower(question), '(^|[^\pL\pN_])' || regexp_escape(lower(trim(answer_text))) || '($|[^\pL\pN_])') end"""
+LEAK = r"""case when language in ('ja', 'zh') then length(lower(trim(answer_text, ' '))) >= 2 and contains(lower(question), lower(trim(answer_text, ' ')))
+ else length(lower(trim(answer_text, ' '))) >= 3 and regexp_matches(lower(question), '(^|[^\pL\pN_])' || regexp_escape(lower(trim(answer_text, ' '))) || '($|[^\pL\pN_])') end"""
 
 
 @query("s2_tolerant_json", "events", sql="""select event_type, count(*) as n, count(try_cast(json_extract_string(props, '$.k') as bigint)) as n_k,
@@ -160,7 +160,7 @@ def option_integrity(flat):
     return flat.groupBy("language").agg(F.count_if(none).alias("n_repeated"), F.count_if(~F.get(o, F.col("answer_index").cast("int")).eqNullSafe(F.col("answer_text"))).alias("n_off"))
 
 
-@query("f_candidate_gate", "flat", sql=rf"""select language, reason, count(*) as n from (select language, case when question is null or trim(question) = '' then 'no question' when answer_text is null or trim(answer_text) = '' then 'no answer'
+@query("f_candidate_gate", "flat", sql=rf"""select language, reason, count(*) as n from (select language, case when question is null or trim(question, ' ') = '' then 'no question' when answer_text is null or trim(answer_text, ' ') = '' then 'no answer'
  when option_a is null or option_b is null or option_c is null or option_d is null then 'null option' when {LEAK} then 'leak' when answer_index is null then 'no index' when length(question) < 15 then 'short' else 'ok' end as reason from flat) group by 1, 2""")
 def candidate_gate(flat):
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
