@@ -14,6 +14,9 @@ SPLITS = ("train", "validation", "test")
 SHARES = (0.8, 0.1, 0.1)
 #: Groups above this share of all rows are placed one by one; there are at most 1 / HEAVY of them.
 HEAVY = 0.0005
+#: Relations, largest first, whose light groups make up for what heavy groups took; in the others (each under
+#: 1 / RELATIONS of all rows) the light groups are split by the shares as they are.
+RELATIONS = 10_000
 #: Parts in which the light groups of a stratum are ranked.
 PARTS = 64
 
@@ -80,7 +83,7 @@ def grouped_splits(rows: DataFrame, shares: Sequence[float] = SHARES, splits: Se
     groups = checkpointed(
         counts.groupBy("group_id").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("relation", "n"))).alias("make"), F.max_by("relation", F.struct("n", "relation")).alias("stratum"))
     )
-    per_relation = {r["relation"]: r["n"] for r in groups.select(F.explode("make").alias("m")).groupBy("m.relation").agg(F.sum("m.n").alias("n")).where("n > 0").orderBy(F.desc("n")).limit(10_000).collect()}
+    per_relation = {r["relation"]: r["n"] for r in groups.select(F.explode("make").alias("m")).groupBy("m.relation").agg(F.sum("m.n").alias("n")).orderBy(F.desc("n"), "relation").limit(RELATIONS).collect()}
     total = groups.agg(F.sum("size")).first()[0] or 0
     heavy = groups.where(F.col("size") > max(1, HEAVY * total)).orderBy(F.desc("size"), "group_id").collect()  # at most 1 / HEAVY rows
     target = {r: [s * n for s in shares] for r, n in per_relation.items()}
@@ -110,7 +113,8 @@ def grouped_splits(rows: DataFrame, shares: Sequence[float] = SHARES, splits: Se
     ranked = light.withColumn("rank", rank).join(sizes, ["stratum", "part"]).join(F.broadcast(cut), "stratum", "left")
     at = (F.col("rank") + F.col("upto") - F.col("c")) * F.lit(0.6180339887498949)
     u = at - F.floor(at)
-    which = F.size(F.filter("edges", lambda e: e <= u))
+    plain = F.array(*[F.lit(float(sum(shares[: i + 1]))) for i in range(len(shares) - 1)])
+    which = F.size(F.filter(F.coalesce("edges", plain), lambda e: e <= u))
     name = F.element_at(F.array(*[F.lit(s) for s in splits]), F.coalesce(which, F.lit(0)) + 1)
     return done.union(ranked.select("group_id", name.alias("new_split")))
 
