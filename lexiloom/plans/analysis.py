@@ -234,7 +234,7 @@ def rate_matrix(flat):
 
 
 @query("a11_distractor_concentration", "flat", sql="""with d as (select relation, o as text, count(*) as n from (select relation, unnest([option_a, option_b, option_c, option_d]) as o, object from flat where language = 'en') where o is not null and o is distinct from object group by 1, 2)
- select relation, count(*) as n_distinct, max(n) as top1, sum(n) filter (where r <= 10) as top10, sum(n) as total from (select *, row_number() over (partition by relation order by n desc, text) as r from d) group by 1""")
+ select relation, count(*) as n_distinct, max(n) as top1, (sum(n) filter (where r <= 10))::bigint as top10, sum(n)::bigint as total from (select *, row_number() over (partition by relation order by n desc, text) as r from d) group by 1""")
 def distractor_concentration(flat):
     o = flat.where("language = 'en'").select("relation", "object", F.explode(F.array(*[f"option_{x}" for x in "abcd"])).alias("text")).where("text is not null and not (text <=> object)")
     d = o.groupBy("relation", "text").agg(rows_().alias("n"))
@@ -319,7 +319,7 @@ def wilson_interval(flat):
     return c.select("language", "k", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("a23_extrapolation", "flat", sql="with s as (select language, count(*) as size, avg((not question_verified)::int) as rate from flat group by 1) select round(sum(size * rate) / sum(size), 6) as rate, sum(size) as n from s")
+@query("a23_extrapolation", "flat", sql="with s as (select language, count(*) as size, avg((not question_verified)::int) as rate from flat group by 1) select round(sum(size * rate) / sum(size), 6) as rate, sum(size)::bigint as n from s")
 def extrapolation(flat):
     s = flat.groupBy("language").agg(rows_().alias("size"), F.avg((~F.col("question_verified")).cast("int")).alias("rate"))
     return s.agg(F.round(F.sum(F.col("size") * F.col("rate")) / F.sum("size"), 6).alias("rate"), F.sum("size").alias("n"))
@@ -338,7 +338,7 @@ def thresholds(flat):
     return flat.groupBy("n_langs_verified").agg(rows_().alias("n"), *[F.count_if(F.length("question") > k).alias(f"over_{k}") for k in (50, 100)])
 
 
-@query("a26_split_statistics", "flat", sql="select split, count(*) as n, sum(length(question) // 4) as tokens, round(avg(length(question) // 4), 6) as mean, min(length(question) // 4) as lo, max(length(question) // 4) as hi from flat group by 1")
+@query("a26_split_statistics", "flat", sql="select split, count(*) as n, sum(length(question) // 4)::bigint as tokens, round(avg(length(question) // 4), 6) as mean, min(length(question) // 4) as lo, max(length(question) // 4) as hi from flat group by 1")
 def split_statistics(flat):
     t = T.estimated_tokens(F.col("question"))
     return flat.groupBy("split").agg(rows_().alias("n"), F.sum(t).alias("tokens"), F.round(F.avg(t), 6).alias("mean"), F.min(t).alias("lo"), F.max(t).alias("hi"))
@@ -406,7 +406,7 @@ def all_parts(documents):
     return W.parts(documents.select("source", "doc_id"), ["source"], ["doc_id"], 4, True).groupBy("source", "part").agg(rows_().alias("n"))
 
 
-@query("w7_cumulative", "lineitem", sql="select flag, m, sum(q) over (partition by flag order by m) as upto from (select l_returnflag as flag, strftime(l_shipdate, '%Y-%m') as m, count(*) as q from lineitem group by 1, 2)")
+@query("w7_cumulative", "lineitem", sql="select flag, m, (sum(q) over (partition by flag order by m))::bigint as upto from (select l_returnflag as flag, strftime(l_shipdate, '%Y-%m') as m, count(*) as q from lineitem group by 1, 2)")
 def cumulative(lineitem):
     q = lineitem.groupBy(F.col("l_returnflag").alias("flag"), F.date_format("l_shipdate", "yyyy-MM").alias("m")).agg(rows_().alias("q"))
     return q.select("flag", "m", F.sum("q").over(Window.partitionBy("flag").orderBy("m")).alias("upto"))

@@ -13,7 +13,7 @@ LEAK = r"""case when language in ('ja', 'zh') then length(lower(trim(answer_text
 
 
 @query("s2_tolerant_json", "events", sql="""select event_type, count(*) as n, count(try_cast(json_extract_string(props, '$.k') as bigint)) as n_k,
- sum(try_cast(json_extract_string(props, '$.k') as bigint)) as sum_k from events group by 1""")
+ sum(try_cast(json_extract_string(props, '$.k') as bigint))::bigint as sum_k from events group by 1""")
 def tolerant_json(events):
     k = F.expr("try_cast(get_json_object(props, '$.k') as bigint)")
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count(k).alias("n_k"), F.sum(k).alias("sum_k"))
@@ -253,7 +253,7 @@ def answer_letter(flat):
     return flat.select("row_id", T.answer_letter(F.col("answer_text"), [F.col(f"option_{x}") for x in "abcd"]).alias("letter"))
 
 
-@query("t_byte_length", "documents", sql="select lang, sum(greatest(1, strlen(text))) as bytes, sum(length(text) // 4) as est_tokens from documents where text is not null group by 1")
+@query("t_byte_length", "documents", sql="select lang, sum(greatest(1, strlen(text)))::bigint as bytes, sum(length(text) // 4)::bigint as est_tokens from documents where text is not null group by 1")
 def byte_length(documents):
     return documents.where("text is not null").groupBy("lang").agg(F.sum(F.greatest(F.lit(1), F.octet_length("text"))).alias("bytes"), F.sum(T.estimated_tokens(F.col("text"))).alias("est_tokens"))
 

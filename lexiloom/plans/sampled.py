@@ -132,7 +132,7 @@ def agreement_kinds(flat):
     return M.agreement_kinds(predictions(flat), "fact_id")
 
 
-@query("m8_rewards", "flat", sql=f"select fact_id, round(sum(case when pred = gold then 1.0 else -0.5 end), 6) as reward, round(pow(avg((pred = gold)::int), 2), 6) as bonus from {JUDGED} group by 1")
+@query("m8_rewards", "flat", sql=f"select fact_id, round(sum(case when pred = gold then 1.0::double else -0.5::double end), 6) as reward, round(pow(avg((pred = gold)::int), 2), 6) as bonus from {JUDGED} group by 1")
 def rewards(flat):
     x = predictions(flat).groupBy("fact_id").agg(F.sum(F.when(F.col("correct"), 1.0).otherwise(-0.5)).alias("r"), F.count_if("correct").alias("k"), rows_().alias("n"))
     return x.select("fact_id", F.round("r", 6).alias("reward"), F.round(M.bonus(F.col("k"), F.col("n"), "power"), 6).alias("bonus"))
@@ -165,7 +165,7 @@ def unit_entropy(events):
 
 
 @query("m14_top_overlap", "flat", sql="""with t as (select language, o, row_number() over (partition by language order by count(*) desc, o) as r from (select language, option_ids[1] as o from flat) group by 1, 2), k as (select language, o from t where r <= 50)
- select a.language as lang_a, b.language as lang_b, count(*) * 2.0 as pct from k a join k b on a.o = b.o and a.language < b.language group by 1, 2""")
+ select a.language as lang_a, b.language as lang_b, count(*) * 2.0::double as pct from k a join k b on a.o = b.o and a.language < b.language group by 1, 2""")
 def top_overlap(flat):
     n = flat.groupBy("language", F.get("option_ids", F.lit(0)).alias("o")).agg(rows_().alias("n"))
     k = n.withColumn("r", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "o"))).where("r <= 50")
