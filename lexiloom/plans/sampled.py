@@ -234,3 +234,26 @@ def tumbling(events):
     from lexiloom.streaming.events import tumbling_counts
 
     return tumbling_counts(events, "1 hour")
+
+
+@query("d8_balanced_validation", "documents", sql="""with r as (select doc_id, lang, row_number() over (partition by lang order by md5(doc_id || '|42'), doc_id) as r, count(*) over (partition by lang) as n from documents where lang is not null) select doc_id, lang from r where r <= least(10, n - 1)""")
+def balanced_validation(documents):
+    """Up to ten documents of each language for validation, at least one left for training."""
+    x = documents.where("lang is not null").select("doc_id", "lang")
+    n = x.groupBy("lang").agg(rows_().alias("n"))
+    return S.per_stratum(x, ["lang"], "doc_id", 11).join(n, "lang").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(S.order_key("doc_id", 42), "doc_id"))).where(F.col("r") <= F.least(F.lit(10), F.col("n") - 1)).select("doc_id", "lang")
+
+
+@query("w11_sampler_keys", "flat", sql="select md5(fact_id || '|3') as block, rep, language, row_id from flat, range(0, 2) t(rep) where fact_id is not null and split = 'test'")
+def sampler_keys(flat):
+    """Sort keys (block, rep, language, row_id) of a sampler that permutes facts, keeps a fact's rows together and repeats each block."""
+    rows = flat.where("fact_id is not null and split = 'test'")
+    return rows.select(S.order_key("fact_id", 3).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("rep"), "language", "row_id")
+
+
+@query("m15_delta_to_base", "flat", sql=f"with a as (select language, avg((pred = gold)::int) as acc from {JUDGED} group by 1) select language, round(acc - (select acc from a where language = 'en'), 6) + 0.0 as delta, round(100 * (acc / (select acc from a where language = 'en') - 1), 4) + 0.0 as pct from a")
+def delta_to_base(flat):
+    a = predictions(flat).groupBy("language").agg(F.avg(F.col("correct").cast("int")).alias("acc"))  # a row a language
+    base = a.where("language = 'en'").select(F.col("acc").alias("base"))
+    x = a.join(F.broadcast(base))
+    return x.select("language", (F.round(F.col("acc") - F.col("base"), 6) + 0.0).alias("delta"), (F.round(100 * (F.col("acc") / F.col("base") - 1), 4) + 0.0).alias("pct"))
