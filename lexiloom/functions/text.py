@@ -73,7 +73,7 @@ def mentions(text: Column, subject: Column) -> Column:
     return F.when(F.size(words) > 0, F.exists(words, lambda w: F.contains(t, w))).otherwise(F.contains(t, F.lower(subject)))
 
 
-def ngrams(tokens: Column, n: int) -> Column:
+def ngrams(tokens: Column, n: int | Column) -> Column:
     """All runs of n tokens, as texts; empty where there are fewer.
 
     tokens should be a column of an inner select, not an expression, or each run evaluates it anew.

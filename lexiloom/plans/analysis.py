@@ -110,6 +110,20 @@ def phrase_join(documents, labels):
     return g.join(e, "phrase").groupBy("id").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
+@query("j17_phrase_join_all", "documents", "entity_labels")
+def phrase_join_all(documents, labels):
+    """Phrases of every word count that the labels have, in documents of any language; j17_phrase_join is the part that its SQL covers."""
+    e = labels.select("id", T.norm(F.col("labels")["en"]).alias("phrase")).where("phrase is not null and length(phrase) >= 4").distinct()
+    parts = e.withColumn("w", F.split("phrase", " "))
+    longest = F.broadcast(parts.agg(F.max(F.size("w")).alias("longest")))
+    heads = parts.groupBy(F.col("w")[0].alias("head")).agg(F.collect_set(F.size("w")).alias("sizes"))
+    words = F.explode(F.array(F.split(T.norm(F.col("text")), " "))).alias("w")  # a generator's output isn't evaluated again
+    at = F.transform("w", lambda x, i: F.struct(x.alias("head"), F.array_join(F.slice("w", i + 1, F.col("longest")), " ").alias("rest")))
+    w = documents.where("text is not null").select("doc_id", words).join(longest).select("doc_id", F.inline(at))
+    g = w.join(heads, "head").select("doc_id", "rest", F.explode("sizes").alias("n")).select("doc_id", F.call_function("substring_index", F.col("rest"), F.lit(" "), F.col("n")).alias("phrase"))
+    return g.join(e, "phrase").groupBy("id").agg(F.countDistinct("doc_id").alias("n_docs"))
+
+
 @query("j18_verbatim_reuse", "documents", "eval_items", sql=rf"""with b as (select distinct item_id, array_to_string(w[i:i + 7], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 6)) as i from (select item_id, string_split({NORM.format('passage')}, ' ') as w from eval_items where lang not in ('ja', 'zh')))),
  d as (select distinct array_to_string(w[i:i + 7], ' ') as g from (select w, unnest(range(1, len(w) - 6)) as i from (select string_split({NORM.format('text')}, ' ') as w from documents where text is not null)))
  select count(distinct item_id) as n_items from b where g in (select g from d)""")
