@@ -225,6 +225,13 @@ def similarity(flat):
     return rows.select("row_id", F.round(T.similarity(F.col("option_a"), F.col("option_b")), 6).alias("sim"))
 
 
+@query("t_similarity_all", "flat")
+def similarity_all(flat):
+    """Every row with both options, in any language and script; t_similarity is the part that its SQL covers."""
+    rows = flat.where("option_a is not null and option_b is not null")
+    return rows.select("row_id", F.round(T.similarity(F.col("option_a"), F.col("option_b")), 6).alias("sim"))
+
+
 @query("t_best_label", "entity_labels", sql="select id, coalesce(nullif(labels['sw'], ''), nullif(labels['en'], ''), nullif(labels['fr'], ''), nullif(labels['de'], '')) as label from entity_labels")
 def best_label(labels):
     return labels.select("id", F.coalesce(*[F.nullif(F.col("labels")[x], F.lit("")) for x in ("sw", "en", "fr", "de")]).alias("label"))

@@ -19,3 +19,19 @@ def test_phrases_of_every_length_and_language(spark, tmp_path):
     want = {k: sum(norm(v) in norm(t) for _, t in texts if t) for k, v in names.items() if v and len(v) >= 4}
     assert want == {"Q1": 2, "Q2": 1, "Q3": 1, "Q4": 2}
     assert {r.id: r.n_docs for r in QUERIES["j17_phrase_join_all"](spark, sf).collect()} == want
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def test_similarity_of_every_language(spark, tmp_path):
+    pairs = [("en", "Rome", "Rom"), ("en", "Café", "Cafe"), ("ja", "日本国", "日本"), ("ru", "Москва", "Moсква"), ("ar", "القاهرة", "قاهرة"), ("bn", "ঢাকা", "ঢাক"), ("zh", "𠮷野家", "吉野家"), ("de", "", ""), ("de", "", "ü"), (None, "é", "e\u0301"), ("xx", "a😀b", "ab"), ("fr", None, "x"), ("fr", "x", None)]
+    sf = written(spark, tmp_path, flat=([(i, *p) for i, p in enumerate(pairs)], "row_id long, language string, option_a string, option_b string"))
+    want = {i: round(1 - distance(a, b) / max(len(a), len(b)), 6) if a or b else 1.0 for i, (_, a, b) in enumerate(pairs) if a is not None and b is not None}
+    assert len(want) == 11 and {r.row_id: r.sim for r in QUERIES["t_similarity_all"](spark, sf).collect()} == want
