@@ -28,6 +28,15 @@ def consistency(judged_: DataFrame, fact: str, language: str, n_languages: int)
     return f.groupBy("k").agg(F.count(F.lit(1)).alias("n_facts"))
 
 
+def complete_consistency(judged_: DataFrame, fact: str, language: str, languages: tuple[str, ...]) -> DataFrame:
+    """(k, n_facts): facts judged in every one of `languages`, whatever others they have, by how many of these are right.
+
+    A row without a gold entity can't be judged: its language counts as missing.
+    """
+    rows = judged_.where(F.col(language).isin(*languages) & F.col("correct").isNotNull())
+    return consistency(rows, fact, language, len(set(languages)))
+
+
 def pairwise(judged_: DataFrame, fact: str, language: str) -> DataFrame:
     """(lang_a, lang_b, rank_consistency, agreement, n): means over the facts that both languages have.
 

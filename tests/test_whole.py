@@ -1,7 +1,10 @@
 """Queries that do the whole of what a query with SQL does in part, against brute force."""
 
+import hashlib
 import re
+from collections import Counter
 
+from lexiloom.plans.sampled import LISTS
 from lexiloom.queries import QUERIES
 
 
@@ -35,3 +38,20 @@ def test_similarity_of_every_language(spark, tmp_path):
     sf = written(spark, tmp_path, flat=([(i, *p) for i, p in enumerate(pairs)], "row_id long, language string, option_a string, option_b string"))
     want = {i: round(1 - distance(a, b) / max(len(a), len(b)), 6) if a or b else 1.0 for i, (_, a, b) in enumerate(pairs) if a is not None and b is not None}
     assert len(want) == 11 and {r.row_id: r.sim for r in QUERIES["t_similarity_all"](spark, sf).collect()} == want
+
+
+def test_facts_complete_in_a_stated_list(spark, tmp_path):
+    twelve, four = LISTS
+    languages = {"f1": twelve, "f2": four, "f3": (*four, "ru", "ja"), "f4": ("en", "de", "es", "ru"), "f5": twelve[1:], "f6": four, "f7": twelve, "f8": four}
+    cells = [(f, l) for f, ls in languages.items() for l in ls] + [("f2", "en"), ("f8", "fr")]
+    ids = ["Q1", "Q2", "Q3", "Q4"]
+    rows = [(i, f, l, None if f == "f8" and l == "fr" and i < len(cells) - 1 else ids, None if f == "f6" and l == "de" else i % 4) for i, (f, l) in enumerate(cells)]
+    sf = written(spark, tmp_path, flat=(rows, "row_id long, fact_id string, language string, option_ids array<string>, answer_index long"))
+    score = lambda i, o: int(hashlib.md5(f"{i}|{o}".encode()).hexdigest()[:8], 16)
+    right = {}
+    for i, f, l, o, gold in rows:
+        if gold is not None and o:
+            right.setdefault(f, {}).setdefault(l, max(range(4), key=lambda x: score(i, x)) == gold)
+    want = Counter((",".join(x), sum(r[l] for l in x)) for x in LISTS for r in right.values() if all(l in r for l in x))
+    got = {(r.languages, r.k): r.n_facts for r in QUERIES["m2_total_consistency_all"](spark, sf).collect()}
+    assert got == want and sum(n for (x, _), n in want.items() if x == ",".join(twelve)) == 2 and sum(n for (x, _), n in want.items() if x == ",".join(four)) == 5
