@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.stats import dot, uniform
 from lexiloom.operators import metrics as M
 from lexiloom.operators import sampling as S
+from lexiloom.operators.bootstrap import paired_bootstrap
 from lexiloom.plans.registry import query
 
 
@@ -99,6 +100,16 @@ def bootstrap(flat):
     return S.bootstrap_means(v, "row_id", "x", "language", 20).select("language", "b", F.round("mean", 6).alias("mean"))
 
 
+@query("d15_bootstrap_paired", "flat")
+def bootstrap_paired(flat):
+    """Means and paired differences of all languages, facts as units, 10,000 draws; d15_bootstrap is the part that its SQL covers.
+
+    Of a fact's rows in a language the first with an answer counts; rows without fact_id can't be paired.
+    """
+    v = flat.where("fact_id is not null and answer_index is not null").groupBy("fact_id", "language").agg(F.min_by((F.col("answer_index") == 0).cast("int"), "row_id").alias("x"))
+    return paired_bootstrap(v, "fact_id", "x", "language").select(F.col("model_a").alias("lang_a"), F.col("model_b").alias("lang_b"), F.col("n").alias("n_facts"), *[F.round(c, 6).alias(c) for c in ("point", "low", "high", "p")])
+
+
 @query("d17_coin_flip", "parallel", sql="select row_id, (('0x' || substr(md5(row_id || '|3'), 1, 8))::bigint % 2)::int as side from parallel")
 def coin_flip(parallel):
     return parallel.select("row_id", (F.conv(F.substring(S.order_key("row_id", 3), 1, 8), 16, 10).cast("bigint") % 2).cast("int").alias("side"))

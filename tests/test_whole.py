@@ -1,9 +1,14 @@
 """Queries that do the whole of what a query with SQL does in part, against brute force."""
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.operators.bootstrap import CUTS, paired_bootstrap
 from lexiloom.plans.sampled import LISTS
 from lexiloom.queries import QUERIES
 
@@ -55,3 +60,45 @@ def test_facts_complete_in_a_stated_list(spark, tmp_path):
     want = Counter((",".join(x), sum(r[l] for l in x)) for x in LISTS for r in right.values() if all(l in r for l in x))
     got = {(r.languages, r.k): r.n_facts for r in QUERIES["m2_total_consistency_all"](spark, sf).collect()}
     assert got == want and sum(n for (x, _), n in want.items() if x == ",".join(twelve)) == 2 and sum(n for (x, _), n in want.items() if x == ",".join(four)) == 5
+
+
+def test_bootstrap_is_paired(spark):
+    values = {f"u{i}": {"a": i % 3 / 2, "b": i % 3 / 2, "c": i % 5 / 4, "d": i % 3 / 2 - 1} for i in range(60)}
+    for i in range(20, 30):
+        del values[f"u{i}"]["c"]
+    df = spark.createDataFrame([(u, m, x) for u, v in values.items() for m, x in v.items()], "u string, m string, x double")
+    got = {(r.model_a, r.model_b): r for r in paired_bootstrap(df.repartition(5), "u", "x", "m", 300, 7).collect()}
+    hashes = {r.u: r.h % 2**64 for r in df.select("u", F.xxhash64("u").alias("h")).distinct().collect()}
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+        return x ^ x >> 31
+
+    def weight(u, b):
+        x = (mix(hashes[u] ^ mix((b + 7 * 0x9E3779B97F4A7C15 + 1) % 2**64)) >> 11) / 2**53
+        return sum(x > c for c in CUTS)
+
+    def percentile(x, q):
+        at = (len(x) - 1) * q
+        i = int(at)
+        return x[i] + (x[min(i + 1, len(x) - 1)] - x[i]) * (at - i)
+
+    drawn = {(u, b): weight(u, b) for u in values for b in range(300)}
+    assert sum(drawn.values()) / len(drawn) == pytest.approx(1, abs=0.03)
+    for a, b in [(m, None) for m in "abcd"] + list(itertools.combinations("abcd", 2)):
+        x = {u: v[a] - v.get(b, 0) for u, v in values.items() if a in v and (b is None or b in v)}
+        means = sorted(sum(drawn[u, k] * y for u, y in x.items()) / sum(drawn[u, k] for u in x) for k in range(300))
+        r = got.pop((a, b))
+        assert (r.n, r.point) == (len(x), pytest.approx(sum(x.values()) / len(x)))
+        assert (r.low, r.high) == (pytest.approx(percentile(means, 0.025)), pytest.approx(percentile(means, 0.975)))
+        assert r.p == (b and pytest.approx(min(1, max(2 * min(sum(m <= 0 for m in means), sum(m >= 0 for m in means)) / 300, 1 / 300))))
+        assert b is None or a + b not in ("ab", "ad", "bd") or (r.low, r.high, r.p) == ((0, 0, 1) if b == "b" else (1, 1, 1 / 300))  # the draws are shared
+    assert not got
+
+
+def test_bootstrap_query_takes_facts_of_all_languages(spark, tmp_path):
+    cells = [(f"f{i}", l, (i + k) % 3) for i in range(9) for k, l in enumerate(("en", "sw", "zh")) if (i, l) != (0, "zh")] + [(None, "en", 0), ("f1", "en", 0), ("f2", "ja", None)]
+    sf = written(spark, tmp_path, flat=([(i, *c) for i, c in enumerate(cells)], "row_id long, fact_id string, language string, answer_index long"))
+    got = {(r.lang_a, r.lang_b): (r.n_facts, r.point) for r in QUERIES["d15_bootstrap_paired"](spark, sf).collect()}
+    assert got == {("en", None): (9, 0.333333), ("sw", None): (9, 0.333333), ("zh", None): (8, 0.375), ("en", "sw"): (9, 0.0), ("en", "zh"): (8, pytest.approx(-0.125, abs=1e-6)), ("sw", "zh"): (8, pytest.approx(0.0, abs=1e-6))}
