@@ -20,8 +20,6 @@ from lexiloom.plans.session import checkpointed
 PLACEHOLDERS = frozenset("none null nil nan n/a na n.a. tbd tba todo unknown undefined blank empty missing xxx".split())
 #: Words of an opening (characters where a language writes no spaces), and how alike two openings are.
 OPENING, OPENING_CJK, ALIKE = 4, 8, 0.8
-#: Shorter openings (characters; where a language writes no spaces the second) could be names.
-SHORT_OPENING = 8, 5
 #: Bands and hashes a band of the openings' MinHash.
 BANDS, ROWS = 12, 3
 #: How like its question a copy is.
@@ -219,7 +217,7 @@ def response_defects(flat: DataFrame, labels: DataFrame) -> DataFrame:
     leaves about a tenth of the cells. Those are held against what the four options' entities are called
     in all languages, and against their question. What no name explains is grouped by its opening;
     openings are clustered by verified MinHash, and a cluster that recurs among unrelated prompts, which
-    have no entity in common, is a template of refusals (an unknown name recurs with its entity only). Names within a sentence have a frame; a frame belongs to the language that
+    have no entity in common, is a template of refusals (an unknown name recurs with its entity only), however short it is. Names within a sentence have a frame; a frame belongs to the language that
     uses it most, and a row of another language has the wrong one. Null questions, subjects, options,
     languages and ids are allowed; with a null language only empty, copy and refusal can be told.
     Repeated rows count each.
@@ -237,8 +235,7 @@ def response_defects(flat: DataFrame, labels: DataFrame) -> DataFrame:
 
     open_ = told.where("kind = 'open'").withColumn("foreign", F.col("what").startswith("\t")).withColumn("opening", F.expr("trim(leading '\t' from what)"))
     of_names = called.select(_opening_udf("key", "language").alias("opening")).distinct()
-    long = F.length("opening") >= F.when(F.col("language").isin("ja", "zh"), SHORT_OPENING[1]).otherwise(SHORT_OPENING[0])
-    prompts = checkpointed(open_.where(long).select("opening", "ids").join(of_names, "opening", "left_anti"))
+    prompts = checkpointed(open_.where("opening <> ''").select("opening", "ids").join(of_names, "opening", "left_anti"))
     clusters = checkpointed(opening_clusters(prompts.select("opening").distinct()))
     prompts = prompts.join(clusters, "opening")
     every = prompts.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
