@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 import re
 
 import numpy as np
@@ -188,25 +189,33 @@ def _alike(a: str, b: str) -> bool:
     return len(x & y) >= ALIKE * len(x | y)
 
 
+def prefix(shingles: set[str]) -> list[int]:
+    """The first hashes of a set in hash order, so many that two sets alike have one of them in common.
+
+    Sets alike share at least ALIKE of the larger one, so the first of their common hashes is among the
+    first n - ceil(ALIKE * n) + 1 of either.
+    """
+    h = sorted(xxhash.xxh64_intdigest(s) >> 1 for s in shingles)
+    return h[: len(h) - math.ceil(ALIKE * len(h) - 1e-9) + 1]
+
+
 def opening_clusters(openings: DataFrame) -> DataFrame:
     """(opening, cluster): distinct openings, joined where their MinHash meets and Jaccard verifies it.
 
-    Openings of one band are linked in order, each with the next and with the first, never all with all;
-    equal openings were one row before.
+    All openings of one band that could be alike are compared: they meet by the band and a hash of their
+    prefixes, which splits crowded bands and loses no pair alike; equal openings were one row before.
     """
-    @F.pandas_udf("array<bigint>")
-    def bands(o: pd.Series) -> pd.Series:
-        return o.map(lambda x: minhash(_shingles(x)))
+    @F.pandas_udf("array<struct<band:bigint,at:bigint>>")
+    def keys(o: pd.Series) -> pd.Series:
+        return o.map(lambda x: [{"band": b, "at": h} for b in minhash(_shingles(x)) for h in prefix(_shingles(x))])
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([_alike(x, y) for x, y in zip(a, b)], index=a.index, dtype=bool)
 
-    b = openings.select("opening", F.explode(bands("opening")).alias("band"))
-    near = Window.partitionBy("band").orderBy("opening")
-    linked = b.select("opening", F.array(F.lag("opening").over(near), F.first("opening").over(near)).alias("others"))
-    linked = linked.select("opening", F.explode("others").alias("other")).where("other is not null and other <> opening").distinct()
-    found = components(linked.where(alike("opening", "other")).select(F.col("opening").alias("a"), F.col("other").alias("b")))
+    k = checkpointed(openings.select("opening", F.inline(keys("opening"))))
+    linked = k.select("band", "at", F.col("opening").alias("a")).join(k.select("band", "at", F.col("opening").alias("b")), ["band", "at"]).where("a < b").select("a", "b").distinct()
+    found = components(linked.where(alike("a", "b")))
     return openings.select("opening").join(found, F.col("opening") == F.col("node"), "left").select("opening", F.coalesce("label", "opening").alias("cluster"))
 
 

@@ -22,3 +22,25 @@ def test_short_refusals(spark):
     labels = spark.createDataFrame([("Q99", {"en": "Elsewhere"})], "id string, labels map<string,string>")
     found = responses.response_defects(spark.createDataFrame(rows, FLAT), labels).where("field_name = 'answer_text' and defect = 'refusal'")
     assert {r.row_id for r in found.collect()} == refused
+
+
+def test_openings_of_a_crowded_band_all_meet(spark, monkeypatch):
+    words = ["alpha", "bravo", "delta", "gamma", "kappa", "omega", "sigma", "theta"]
+    texts = [f"{a} {b} {c} will not say" for a in words for b in words[:4] for c in ("north", "south")]
+    texts += [f"{t}s" for t in texts[::3]] + ["a", "b"]
+    band = responses.minhash(responses._shingles("one band"))[:1]
+    monkeypatch.setattr(responses, "minhash", lambda shingles: band)  # chance brings all into one band
+    alike = [(a, b) for a in texts for b in texts if a < b and responses._alike(a, b)]
+    root = {t: t for t in texts}
+    for _ in texts:
+        for a, b in alike:
+            root[a] = root[b] = min(root[a], root[b])
+    openings = spark.createDataFrame([(t,) for t in texts], "opening string")
+    got = {r.opening: r.cluster for r in responses.opening_clusters(openings).collect()}
+    assert len(alike) > 20 and {(a, b) for a in texts for b in texts if got[a] == got[b]} == {(a, b) for a in texts for b in texts if root[a] == root[b]}
+
+
+def test_prefixes_lose_no_pair():
+    words = ["no sé", "no se", "no lo sé", "i can not say that", "i can not say this", "i cannot say that", "我不知道", "我不知道呢", "не знаю", "a", ""]
+    sets = {w: responses._shingles(w) for w in words}
+    assert all(set(responses.prefix(sets[a])) & set(responses.prefix(sets[b])) for a in words[:-1] for b in words[:-1] if responses._alike(a, b))
