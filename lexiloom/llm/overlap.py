@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.llm.facts import stated_facts
 from lexiloom.llm.segment_join import segment_join
+from lexiloom.plans.session import checkpointed
 
 #: Edits between two written facts that the join tolerates; the exact check then decides.
 EDITS = 1
@@ -23,7 +24,8 @@ def cross_split_overlaps(parallel: DataFrame, redirects: DataFrame, k: int = EDI
     rows = stated_facts(parallel, redirects, "split", "source").where("s is not null and p is not null and o is not null")
     rows = rows.select("row_id", "split", "source", F.concat_ws("|", "s", "p", "o").alias("text"))
     train, held = rows.where("split = 'train'"), rows.where("split in ('validation', 'test')")
-    same = segment_join(held, train, k).where("distance = 0 and eval_text = train_text").select(F.col("eval_text").alias("text"))
+    near = checkpointed(segment_join(held, train, k))  # else the optimiser would make the exact check a key of the join
+    same = near.where("distance = 0 and eval_text = train_text").select(F.col("eval_text").alias("text"))
     held = held.join(same, "text").select("text", F.col("row_id").alias("eval_row"), "split", "source")
     return held.join(train.select("text", F.col("row_id").alias("train_row")), "text").drop("text")
 
