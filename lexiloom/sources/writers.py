@@ -38,8 +38,10 @@ def markdown_table(df: DataFrame, most: int = 1000) -> str:
 
 
 def latex_table(df: DataFrame, key: str, most: int = 1000) -> str:
-    """A report as LaTeX rows; the largest number of each column is bold, the second underlined."""
-    rows = [r.asDict() for r in df.limit(most).collect()]
+    """A report of at most `most` rows as LaTeX rows; more rows raise. The largest number of each column is bold, the second underlined."""
+    rows = [r.asDict() for r in df.limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no report")
     out = []
     for r in rows:
         cells = [str(r[key])]

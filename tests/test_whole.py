@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators.bootstrap import CUTS, paired_bootstrap
 from lexiloom.plans.sampled import LISTS
 from lexiloom.queries import QUERIES
+from lexiloom.sources import writers
 
 
 def written(spark, path, **tables):
@@ -102,3 +103,10 @@ def test_bootstrap_query_takes_facts_of_all_languages(spark, tmp_path):
     sf = written(spark, tmp_path, flat=([(i, *c) for i, c in enumerate(cells)], "row_id long, fact_id string, language string, answer_index long"))
     got = {(r.lang_a, r.lang_b): (r.n_facts, r.point) for r in QUERIES["d15_bootstrap_paired"](spark, sf).collect()}
     assert got == {("en", None): (9, 0.333333), ("sw", None): (9, 0.333333), ("zh", None): (8, 0.375), ("en", "sw"): (9, 0.0), ("en", "zh"): (8, pytest.approx(-0.125, abs=1e-6)), ("sw", "zh"): (8, pytest.approx(0.0, abs=1e-6))}
+
+
+def test_latex_table_raises_rather_than_cuts(spark):
+    df = spark.range(4).selectExpr("cast(id as string) as k", "id as n")
+    assert writers.latex_table(df, "k", 4).count(r"\\") == 4
+    with pytest.raises(ValueError):
+        writers.latex_table(df, "k", 3)
