@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -12,17 +13,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.skeleton import skeleton
+from lexiloom.llm.skeleton import borders, skeleton
 
-#: Characters of a block, bits of the shift table's index.
-BLOCK, BITS = 4, 20
+#: Characters of a block.
+BLOCK = 4
 #: Items searched for in one pass over the documents; more items take more passes.
-ITEMS = 20_000
+ITEMS = 50_000
 #: Characters searched at a time, and per lane, in a task.
 SLICE, LANE = 2_000_000, 1024
-#: Shorter patterns aren't searched for on their own: their sentence is searched for whole.
-SHORTEST = 8
+#: Halves of fewer letters would stand almost everywhere: such a sentence is cut in the middle of its
+#: letters, and its forms with a word dropped or doubled are patterns of their own.
+HALF = 4
+#: A dropped word is a slip in sentences of so many words; in shorter ones too little of it is left.
+DROPS = 4
+#: A run of more letters than any word has is text written without spaces, where words have no borders.
+GLUED = 40
+#: Words whose full stop ends no sentence.
+ABBREVIATIONS = frozenset("dr mr mrs ms prof st sr sra dra jr no nr vol fig pp ca vs al etc bzw hr fr ul г им".split())
 _END = re.compile(r"(?<=[.!?])\s+|(?<=[。।！？؟])\s*|\n+")
+_UNSPACED = re.compile("[\u3040-\u30ff\u3400-\u9fff]")
 
 
 class Sentence(NamedTuple):
@@ -31,20 +40,43 @@ class Sentence(NamedTuple):
     words: tuple[tuple[int, int], ...]  # spans in text
 
 
+def _goes_on(piece: str) -> bool:
+    """Whether the full stop at the end of a piece belongs to an abbreviation or an initial."""
+    words = piece.split()
+    if not piece.endswith(".") or not words:
+        return False
+    last = words[-1].strip(".([\"'«“„")
+    return (len(last) == 1 and last.isupper()) or last.casefold() in ABBREVIATIONS
+
+
 def sentences(passage: str) -> list[str]:
-    return [x for x in _END.split(passage or "") if x.strip()]
+    """The sentences of a passage. One or two words on their own (a heading, an abbreviation) go with what
+    follows them, or with what stands before them at the end; unspaced scripts have no such fragments."""
+    found: list[str] = []
+    held = ""
+    for piece in _END.split(passage or ""):
+        if not piece.strip():
+            continue
+        held = f"{held} {piece}" if held else piece
+        if not _goes_on(held) and (len(held.split()) > 2 or _UNSPACED.search(held)):
+            found.append(held)
+            held = ""
+    if held:
+        found[-1:] = [f"{found[-1]} {held}" if found else held]
+    return found
 
 
 def _sentence(item: int, raw: str) -> Sentence:
-    """CJK text has no words: there every run of up to four characters is one that can slip."""
+    """CJK text has no words: there every run of up to four characters (of a quarter of a short sentence)
+    is one that can slip."""
     words, text = [], ""
     for w in raw.split():
         s = skeleton(w)
         if s:
             words.append((len(text), len(text) + len(s)))
             text += s
-    if len(words) <= 2 and len(text) >= 12:
-        words = [(i, i + n) for n in range(1, 5) for i in range(len(text) - n + 1)]
+    if 2 * len(_UNSPACED.findall(text)) > len(text):
+        words = [(i, i + n) for n in range(1, min(4, max(1, len(text) // 4)) + 1) for i in range(len(text) - n + 1)]
     return Sentence(item, text, tuple(words))
 
 
@@ -60,23 +92,57 @@ def _one_letter(s: str, t: str) -> bool:
     return more[a + 1 :] == less[a:] and not more[a].isdecimal()
 
 
-def holds(s: Sentence, text: str, start: int | None, end: int | None) -> bool:
-    """Whether the sentence stands in text from `start`, or up to `end`, with at most one slipped word."""
+def other_forms(s: Sentence) -> Iterator[str]:
+    """The sentence with one word dropped or doubled."""
+    for a, b in s.words:
+        if len(s.words) >= DROPS:
+            yield s.text[:a] + s.text[b:]
+        if len(s.words) > 1:
+            yield s.text[:b] + s.text[a:]
+
+
+def stands(s: Sentence, text: str, start: int | None, end: int | None) -> Iterator[tuple[int, int]]:
+    """Spans in which the sentence stands in text from `start`, or up to `end`, with at most one slipped word."""
+
+    def span(n: int) -> tuple[int, int]:
+        return (start, start + n) if start is not None else (end - n, end)
 
     def there(variant: str) -> bool:
         return text.startswith(variant, start) if start is not None else text.endswith(variant, 0, end)
 
-    if there(s.text):
-        return True
     n = len(s.text)
-    for d in (-1, 0, 1):
+    if there(s.text):
+        yield span(n)
+    for d in (-1, 0, 1) if len(s.words) > 1 else ():
         near = text[start : start + n + d] if start is not None else text[max(0, end - n - d) : end]
-        if len(near) == n + d and _one_letter(s.text, near):
+        if len(near) == n + d and near != s.text and _one_letter(s.text, near):
+            yield span(n + d)
+    for variant in other_forms(s):
+        if there(variant):
+            yield span(len(variant))
+
+
+class Borders:
+    """Where words begin and end in the skeletons of texts, told only for texts in which something was found."""
+
+    def __init__(self, raw: list[str], begins: np.ndarray):
+        self.raw, self.begins, self.known = raw, begins, {}
+
+    def whole(self, n: int, text: str, a: int, b: int) -> bool:
+        """Whether no word of text n reaches over the ends of [a, b); unspaced scripts and glued text have no words."""
+        if n not in self.known:
+            at = borders(self.raw[n])
+            self.known[n] = None if at is None else [x + int(self.begins[n]) for x in at]
+        at = self.known[n]
+        if at is None:
             return True
-    for a, b in s.words:
-        if there(s.text[:a] + s.text[b:]) or there(s.text[:b] + s.text[a:]):  # dropped, doubled
-            return True
-    return False
+        for p in (a, b):
+            i = bisect_left(at, p)
+            if i < len(at) and at[i] == p or _UNSPACED.search(text[max(0, p - 1) : p + 1]):
+                continue
+            if 0 < i < len(at) and at[i] - at[i - 1] <= GLUED:
+                return False
+        return True
 
 
 class WuManber:
@@ -92,7 +158,9 @@ class WuManber:
         self.patterns = patterns
         self.m = min(map(len, patterns))
         self.block = min(BLOCK, self.m)
-        self.shift = np.full(1 << BITS, self.m - self.block + 1, dtype=np.int32)
+        blocks = len(patterns) * (self.m - self.block + 1)
+        self.bits = min(24, max(12, (16 * blocks).bit_length()))  # of the table's index; a few blocks in a hundred share an entry
+        self.shift = np.full(1 << self.bits, self.m - self.block + 1, dtype=np.int32)
         head = np.array([np.frombuffer(p[: self.m].encode("utf-32-le"), dtype=np.uint32) for p in patterns])
         for j in range(self.m - self.block + 1):
             np.minimum.at(self.shift, self._hash([head[:, j + i] for i in range(self.block)]), self.m - self.block - j)
@@ -100,12 +168,11 @@ class WuManber:
         self.order = np.argsort(window, kind="stable")
         self.window = window[self.order]
 
-    @staticmethod
-    def _hash(columns) -> np.ndarray:
+    def _hash(self, columns) -> np.ndarray:
         h = np.zeros(len(columns[0]), dtype=np.uint32)
         for c in columns:
             h = h * np.uint32(0x9E3779B1) + c
-        return (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)
+        return (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) >> np.uint32(32 - self.bits)
 
     @staticmethod
     def _window(columns) -> np.ndarray:
@@ -142,38 +209,52 @@ class WuManber:
 
 
 class Searcher:
-    """Sentences cut in two at a word: one slipped word leaves a half whole, whose find is then verified."""
+    """Sentences cut in two at a word: one slipped word leaves a half whole, whose find is then verified.
+
+    Patterns are searched for in groups of like length, as the shortest of a group decides how far a
+    search can jump. Every find must be of whole words.
+    """
 
     def __init__(self, items: list[tuple[int, str]]):
-        parts: dict[str, list[tuple[Sentence, int, bool]]] = {}
+        parts: dict[str, list[tuple[Sentence, bool | None]]] = {}  # True: its head, False: its tail, None: all of it
         for s in {_sentence(i, x) for i, p in items for x in sentences(p)}:
-            if not s.text:
+            n = len(s.text)
+            if n < 2 or len(s.words) < 2:
+                parts.setdefault(s.text, []).append((s, True))
                 continue
-            cut = min((a for a, _ in s.words), key=lambda a: abs(a - len(s.text) / 2)) if s.words else 0
-            if min(cut, len(s.text) - cut) < SHORTEST:
-                parts.setdefault(s.text, []).append((s, 0, True))
-                continue
-            parts.setdefault(s.text[:cut], []).append((s, 0, True))
-            parts.setdefault(s.text[cut:], []).append((s, cut, False))
-        self.found = list(parts.values())
-        self.search = WuManber(list(parts)) if parts else None
-
-    def items(self, keys: list, texts: list[str]) -> Iterator[tuple]:
-        """(key, item) of the texts; texts are joined by a character that no skeleton has."""
-        if not self.search:
-            return
+            cut = min((a for a, _ in s.words), key=lambda a: abs(a - n / 2))
+            if min(cut, n - cut) < HALF:
+                cut = n // 2
+                for variant in other_forms(s):
+                    parts.setdefault(variant, []).append((s, None))
+            parts.setdefault(s.text[:cut], []).append((s, True))
+            parts.setdefault(s.text[cut:], []).append((s, False))
+        parts.pop("", None)
+        groups: dict[int, list[str]] = {}
+        for x in parts:
+            groups.setdefault(min(len(x), 31).bit_length(), []).append(x)
+        self.parts = parts
+        self.groups = [WuManber(x) for _, x in sorted(groups.items())]
+
+    def items(self, keys: list, raw: list[str]) -> Iterator[tuple]:
+        """(key, item) of the texts; their skeletons are joined by a character that no skeleton has."""
+        texts = [skeleton(t) for t in raw]
         joined = "\x00".join(texts)
         ends = np.cumsum([len(t) + 1 for t in texts])
+        border = Borders(raw, ends - [len(t) + 1 for t in texts]) if texts else None
         seen = set()
-        for p, x in self.search.find(joined):
-            n = int(np.searchsorted(ends, p, "right"))
-            for s, cut, is_head in self.found[x]:
-                if (n, s.item) in seen:
-                    continue
-                length = len(self.search.patterns[x])
-                if holds(s, joined, p if is_head else None, None if is_head else p + length):
-                    seen.add((n, s.item))
-                    yield keys[n], s.item
+        for group in self.groups:
+            for p, x in group.find(joined):
+                n = int(np.searchsorted(ends, p, "right"))
+                pattern = group.patterns[x]
+                for s, is_head in self.parts[pattern]:
+                    if (n, s.item) in seen:
+                        continue
+                    q = p + len(pattern)
+                    spans = [(p, q)] if is_head is None else stands(s, joined, p if is_head else None, None if is_head else q)
+                    if any(border.whole(n, joined, a, b) for a, b in spans):
+                        seen.add((n, s.item))
+                        yield keys[n], s.item
 
 
 @lru_cache(maxsize=2)
@@ -185,8 +266,10 @@ def _searcher(items: tuple[tuple[int, str], ...]) -> Searcher:
 def leaked_items(documents: DataFrame, items: DataFrame, per_pass: int = ITEMS) -> DataFrame:
     """(doc_id, item_id): documents that hold a complete sentence of an item's passage.
 
-    A sentence may differ in one word that is dropped, doubled or off by one letter, and in whatever the
-    skeleton leaves out. Items with a null or empty passage have no sentences, documents with a null or
+    A sentence may differ in one word that is dropped (in sentences of at least DROPS words), doubled or off
+    by one letter, and in whatever the skeleton leaves out; a word put in another's place is no slip. It
+    must stand there in whole words; an abbreviation, a heading or a sentence of one or two words is no
+    sentence of its own. Items with a null or empty passage have no sentences, documents with a null or
     empty text hold none; a repeated document or item is found as often as it stands there with its own
     id. Documents stay where they are read: no shuffle; the items, at most `per_pass` in a pass, go to
     all tasks.
@@ -206,7 +289,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, per_pass: int = ITEMS)
                 for k, t in zip(b["doc_id"], b["text"]):
                     if t:
                         keys.append(k)
-                        texts.append(skeleton(t))
+                        texts.append(t)
                         size += len(t)
                     if size > SLICE:
                         rows += s.items(keys, texts)

@@ -19,16 +19,34 @@ _FOLD = str.maketrans(LOOKALIKES | {"ı": "i", "ß": "ss"})
 _TAG = re.compile(r"<[^<>]{1,200}>")
 _MARKS = re.compile("[\u0300-\u036f\u0610-\u061a\u064b-\u065f\u0670ـ]+")
 _DROP = regex.compile(r"[^\p{L}\p{M}\p{Nd}]+")
+_DIGIT = regex.compile(r"[^\P{Nd}0-9]")
 
 
-def skeleton(text: str) -> str:
-    """Letters, marks and digits only: lower case, ASCII digits, no accents, look-alikes as one letter."""
+def _prepared(text: str) -> str:
     if "<" in text:
         text = _TAG.sub("", text)
     if "&" in text:
         text = html.unescape(text)
-    if text.isascii():
-        return _DROP.sub("", text.lower())
-    text = unicodedata.normalize("NFKD", text).casefold()
-    text = unicodedata.normalize("NFC", _MARKS.sub("", _DROP.sub("", text)))
-    return "".join(str(unicodedata.decimal(c)) if c > "\x7f" and c.isdecimal() else c for c in text.translate(_FOLD)) if regex.search(r"[^\P{Nd}0-9]", text) else text.translate(_FOLD)
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKD", text).casefold()
+
+
+def _folded(letters: str) -> str:
+    """Letters, marks and digits of prepared text without accents, each look-alike as one letter."""
+    if letters.isascii():
+        return letters
+    letters = unicodedata.normalize("NFC", _MARKS.sub("", letters)).translate(_FOLD)
+    return "".join(str(unicodedata.decimal(c)) if c > "\x7f" and c.isdecimal() else c for c in letters) if _DIGIT.search(letters) else letters
+
+
+def skeleton(text: str) -> str:
+    """Letters, marks and digits only: lower case, ASCII digits, no accents, look-alikes as one letter."""
+    return _folded(_DROP.sub("", _prepared(text)))
+
+
+def borders(text: str) -> list[int] | None:
+    """The positions in skeleton(text) where words begin and end; None where the words can't be told."""
+    at, whole = [0], []
+    for word in _DROP.split(_prepared(text)):
+        whole.append(_folded(word))
+        at.append(at[-1] + len(whole[-1]))
+    return at if "".join(whole) == skeleton(text) else None
