@@ -5,22 +5,44 @@ from __future__ import annotations
 import os
 import tempfile
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of at most so many rows go to every task whole; beyond, both sides are shuffled by salted keys.
+SMALL, SALT = 200_000, 16
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder that the cluster names, read back without its lineage.
 
-    `spark.checkpoint.dir` is taken from the session; only where it is unset, as in tests on one
-    machine, a local folder is used.
+    `spark.checkpoint.dir` is taken from the session. Where it is unset, a session on one machine, as in
+    tests, uses a local folder; a session on a cluster, whose executors don't share one, fails.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "lexiloom-checkpoints"))
     return df.checkpoint(eager=True)
 
 
+def looked_up(rows: DataFrame, known: DataFrame, keys: Sequence[str], how: str = "inner", small: int = SMALL) -> DataFrame:
+    """rows joined with `known`, one row a key, on columns that may be hot in rows; how: inner, left, left_anti or left_semi.
+
+    The rows of `known`, which should be checkpointed or a plain scan, are counted: up to `small` it goes to
+    all tasks and rows stay where they are. Beyond, each row draws one of SALT parts by a hash of all its columns and
+    `known` is repeated in every part, so a key with a third of all rows is spread over SALT tasks.
+    """
+    if known.limit(small + 1).count() <= small:
+        return rows.join(F.broadcast(known), list(keys), how)
+    parts = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    drawn = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.to_json(c) if t.startswith("map") else F.col(c) for c, t in rows.dtypes]), F.lit(SALT)).cast("int"))
+    return drawn.join(parts, [*keys, "_part"], how).drop("_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
