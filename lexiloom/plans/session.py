@@ -29,14 +29,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def looked_up(rows: DataFrame, known: DataFrame, keys: Sequence[str], how: str = "inner", small: int = SMALL) -> DataFrame:
+def is_small(df: DataFrame, small: int = SMALL) -> bool:
+    """Whether a table, which should be checkpointed or a plain scan, has at most `small` rows."""
+    return df.limit(small + 1).count() <= small
+
+
+def looked_up(rows: DataFrame, known: DataFrame, keys: Sequence[str], how: str = "inner", fits: bool | None = None) -> DataFrame:
     """rows joined with `known`, one row a key, on columns that may be hot in rows; how: inner, left, left_anti or left_semi.
 
-    The rows of `known`, which should be checkpointed or a plain scan, are counted: up to `small` it goes to
-    all tasks and rows stay where they are. Beyond, each row draws one of SALT parts by a hash of all its columns and
+    Where `known` is small (counted unless `fits` tells) it goes to all tasks and rows stay where they are. Beyond, each row draws one of SALT parts by a hash of all its columns and
     `known` is repeated in every part, so a key with a third of all rows is spread over SALT tasks.
     """
-    if known.limit(small + 1).count() <= small:
+    if is_small(known) if fits is None else fits:
         return rows.join(F.broadcast(known), list(keys), how)
     parts = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     drawn = rows.withColumn("_part", F.pmod(F.xxhash64(*[F.to_json(c) if t.startswith("map") else F.col(c) for c, t in rows.dtypes]), F.lit(SALT)).cast("int"))
