@@ -5,17 +5,18 @@ from __future__ import annotations
 import difflib
 import math
 import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from lexiloom.llm.consistent import _SCRIPT_OF, canonical, script_of
+from lexiloom.llm.consistent import _SCRIPT_OF, canonical, clean, script_of
 from lexiloom.llm.grouping import components
-from lexiloom.plans.session import checkpointed
+from lexiloom.plans.session import checkpointed, is_small, looked_up
 
 #: What stands for no answer.
 PLACEHOLDERS = frozenset("none null nil nan n/a na n.a. tbd tba todo unknown undefined blank empty missing xxx".split())
@@ -39,13 +40,18 @@ def _name_key_udf(text: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else name_key(t, lang or "") for t, lang in zip(text, language)], index=text.index, dtype=object)
 
 
+def key_of(text: Column, language: Column) -> Column:
+    """name_key() as a column; clean texts never leave the JVM."""
+    easy = clean(text, language)
+    return F.when(easy, F.lower(text)).otherwise(_name_key_udf(F.when(~easy, text), language))
+
+
 def responses(flat: DataFrame) -> DataFrame:
     """(row_id, field_name, language, question, ids, text, key): the two responses of each row."""
     cells = F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in ("option_a", "answer_text")])
     rows = flat.select("row_id", "language", "question", F.col("option_ids").alias("ids"), F.explode(cells).alias("c"))
     rows = rows.select("row_id", "c.field_name", "language", "question", "ids", F.col("c.text").alias("text"))
-    simple = F.col("text").rlike(r"^[A-Za-z][A-Za-z ]*[A-Za-z]$") & (F.coalesce("language", F.lit("")) != "ru") & ~F.col("text").contains("  ")
-    return rows.withColumn("key", F.when(simple, F.lower("text")).otherwise(_name_key_udf(F.when(~simple, F.col("text")), F.col("language"))))
+    return rows.withColumn("key", key_of(F.col("text"), F.col("language")))
 
 
 def names(flat: DataFrame, labels: DataFrame) -> DataFrame:
@@ -58,12 +64,12 @@ def names(flat: DataFrame, labels: DataFrame) -> DataFrame:
     options = F.array(*[F.struct(F.element_at("option_ids", i + 1).alias("entity"), F.lit(i == 0).alias("first"), F.col(f"option_{c}").alias("text")) for i, c in enumerate("abcd")])
     shown = flat.where("size(option_ids) >= 4").select("language", F.explode(options).alias("o")).select("language", "o.*").where("entity is not null and language is not null and text is not null")
     n = shown.groupBy("entity", "language", "text", "first").agg(F.count(F.lit(1)).alias("n"))
-    n = n.select("entity", "language", _name_key_udf("text", "language").alias("key"), "first", "n").where("key <> ''")
+    n = n.select("entity", "language", key_of(F.col("text"), F.col("language")).alias("key"), "first", "n").where("key <> ''")
     n = n.groupBy("entity", "language", "key").agg(F.sum(F.when(~F.col("first"), F.col("n")).otherwise(0)).alias("n_rest"), F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("entity", "language").orderBy(F.desc("n_rest"), F.desc("n"), "key"))
     top = n.withColumn("best", best).where("best = 1 and (n_rest > 0 or n > 1)").select("entity", "language", "key")
     said = labels.select(F.col("id").alias("entity"), F.explode("labels").alias("language", "text")).where("text is not null and id is not null")
-    said = said.select("entity", "language", _name_key_udf("text", "language").alias("key")).where("key <> ''")
+    said = said.select("entity", "language", key_of(F.col("text"), F.col("language")).alias("key")).where("key <> ''")
     return said.union(top).distinct()
 
 
@@ -78,6 +84,8 @@ def is_copy(text: str, question: str | None, language: str) -> bool:
     """
     if question is None:
         return any(c in text for c in "?？؟")
+    if len(text) < 0.5 * len(question):  # most answers; the consistent form is never twice as long
+        return False
     q, t = _squeezed(canonical(question, language)), _squeezed(canonical(text, language))
     if not q or not t:
         return False
@@ -127,8 +135,18 @@ def _breaks_off(key: str, name: str) -> str | None:
     return None
 
 
-def classify(language: str, question: str | None, text: str | None, key: str | None, known: list[tuple[str, str]]) -> tuple[str, str]:
-    """(kind, frame or opening) of a response, given (language, key) of what the row's entities are called.
+@lru_cache(maxsize=1 << 14)
+def _called(names: str) -> dict[str, frozenset[str]]:
+    """Keys by language, of an entity's names as lines of language, tab and key."""
+    by: dict[str, set[str]] = {}
+    for x in names.splitlines():
+        language, key = x.split("\t", 1)
+        by.setdefault(language, set()).add(key)
+    return {k: frozenset(v) for k, v in by.items()}
+
+
+def classify(language: str, question: str | None, text: str | None, key: str | None, entities: list[dict[str, frozenset[str]]]) -> tuple[str, str]:
+    """(kind, frame or opening) of a response, given what the row's entities are called, keys by language.
 
     Kinds: the defects empty, copy, language and truncated; fine; framed, a name of the row's language
     within a sentence, whose frame is still to be held against the language; and open, which no name
@@ -139,13 +157,13 @@ def classify(language: str, question: str | None, text: str | None, key: str | N
         return "empty", ""
     if is_copy(text, question, language):
         return "copy", ""
-    own = sorted({k for lang, k in known if lang == language}, key=len, reverse=True)
+    own = sorted({k for e in entities for k in e.get(language, ())}, key=len, reverse=True)
     if key in own:
         return "fine", ""
     for k in own:
         if _contains(key, k):
             return "framed", key.replace(k, "{}", 1)
-    foreign = sorted({k for lang, k in known if lang != language} - set(own), key=len, reverse=True)
+    foreign = {k for e in entities for lang, x in e.items() if lang != language for k in x}.difference(own)
     if any(key == name_key(k, language) or _contains(key, k) for k in foreign):
         return "language", ""
     for k in own:
@@ -155,6 +173,9 @@ def classify(language: str, question: str | None, text: str | None, key: str | N
     return "open", opening(key, language, question)
 
 
+_TOLD = StructType([StructField("kind", StringType()), StructField("what", StringType())])
+
+
 def _written_in_another(key: str, language: str) -> bool:
     """Whether most letters are of a script that the language isn't written in; Latin may be a brand."""
     found = [s for c in key if (s := script_of(c))]
@@ -162,8 +183,8 @@ def _written_in_another(key: str, language: str) -> bool:
     return sum(s in (*home, "Latin") for s in found) * 2 < len(found)
 
 
-def _classify(language: pd.Series, question: pd.Series, text: pd.Series, key: pd.Series, known: pd.Series) -> pd.DataFrame:
-    out = [classify(lang or "", q, t, k, [tuple(x.split("\t", 1)) for x in (n if n is not None else ())]) for lang, q, t, k, n in zip(language, question, text, key, known)]
+def _classify(language: pd.Series, question: pd.Series, text: pd.Series, key: pd.Series, *names: pd.Series) -> pd.DataFrame:
+    out = [classify(lang or "", q, t, k, [_called(x) for x in n if x]) for lang, q, t, k, *n in zip(language, question, text, key, *names)]
     out = [(a, b if a != "open" else ("\t" if _written_in_another(k, lang or "") else "") + b) for (a, b), k, lang in zip(out, key, language)]
     return pd.DataFrame(out, columns=["kind", "what"])
 
@@ -222,9 +243,9 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
 def response_defects(flat: DataFrame, labels: DataFrame) -> DataFrame:
     """(row_id, field_name, defect): each defective response with its one defect.
 
-    A response that is a name in its row's language is sound; that takes one join with the names, which
-    leaves about a tenth of the cells. Those are held against what the four options' entities are called
-    in all languages, and against their question. What no name explains is grouped by its opening;
+    A response that is a name in its row's language is sound; that takes one lookup in the names, which
+    leaves about a tenth of the cells. Those are held against what the (first four) options' entities are
+    called in all languages, and against their question. What no name explains is grouped by its opening;
     openings are clustered by verified MinHash, and a cluster that recurs among unrelated prompts, which
     have no entity in common, is a template of refusals (an unknown name recurs with its entity only), however short it is. Names within a sentence have a frame; a frame belongs to the language that
     uses it most, and a row of another language has the wrong one. Null questions, subjects, options,
@@ -232,30 +253,29 @@ def response_defects(flat: DataFrame, labels: DataFrame) -> DataFrame:
     Repeated rows count each.
     """
     called = checkpointed(names(flat, labels))
-    known = called.select("language", "key").distinct().withColumn("known", F.lit(True))
-    cells = responses(flat).join(known, ["language", "key"], "left").where("known is null").drop("known")
-    cells = checkpointed(cells.withColumn("cell", F.concat_ws("|", "row_id", "field_name")))
-    per_entity = called.groupBy("entity").agg(F.collect_set(F.concat_ws("\t", "language", "key")).alias("names"))  # twelve languages
-    ids = cells.select("cell", F.explode(F.array_distinct("ids")).alias("entity"))
-    have = ids.join(per_entity, "entity").groupBy("cell").agg(F.flatten(F.collect_list("names")).alias("names"))  # four options
-    udf = F.pandas_udf(_classify, "kind string, what string")
-    told = cells.join(have, "cell", "left").withColumn("c", udf("language", "question", "text", "key", "names"))
+    known = checkpointed(called.select("language", "key").distinct())
+    cells = looked_up(responses(flat), known, ["language", "key"], "left_anti")
+    lines = checkpointed(called.groupBy("entity").agg(F.concat_ws("\n", F.sort_array(F.collect_set(F.concat_ws("\t", "language", "key")))).alias("names")))  # twelve languages
+    fits = is_small(lines)
+    for i in range(4):  # the entities of the four options
+        cells = looked_up(cells.withColumn("entity", F.get("ids", F.lit(i))), lines.withColumnRenamed("names", f"names_{i}"), ["entity"], "left", fits).drop("entity")
+    told = cells.withColumn("c", F.pandas_udf(_classify, _TOLD)("language", "question", "text", "key", *[f"names_{i}" for i in range(4)]))
     told = checkpointed(told.select("row_id", "field_name", "language", "ids", "c.kind", "c.what"))
 
     open_ = told.where("kind = 'open'").withColumn("foreign", F.col("what").startswith("\t")).withColumn("opening", F.expr("trim(leading '\t' from what)"))
-    of_names = called.select(_opening_udf("key", "language").alias("opening")).distinct()
-    prompts = checkpointed(open_.where("opening <> ''").select("opening", "ids").join(of_names, "opening", "left_anti"))
+    of_names = checkpointed(called.select(_opening_udf("key", "language").alias("opening")).distinct())
+    prompts = checkpointed(looked_up(open_.where("opening <> ''").select("opening", "ids"), of_names, ["opening"], "left_anti"))
     clusters = checkpointed(opening_clusters(prompts.select("opening").distinct()))
-    prompts = prompts.join(clusters, "opening")
+    prompts = looked_up(prompts, clusters, ["opening"])
     every = prompts.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     shared = prompts.select("cluster", F.explode(F.array_distinct("ids")).alias("e")).groupBy("cluster", "e").agg(F.count(F.lit(1)).alias("m")).groupBy("cluster").agg(F.max("m").alias("m"))
     templates = every.join(shared, "cluster", "left").where("n > coalesce(m, 0) and n > 1")
-    refusals = clusters.join(templates, "cluster", "left_semi").select("opening").withColumn("refusal", F.lit(True))
-    open_ = open_.join(refusals, "opening", "left").select("row_id", "field_name", F.when(F.col("refusal"), "refusal").when(F.col("foreign"), "language").alias("defect"))
+    refusals = checkpointed(clusters.join(templates, "cluster", "left_semi").select("opening").withColumn("refusal", F.lit(True)))
+    open_ = looked_up(open_, refusals, ["opening"], "left").select("row_id", "field_name", F.when(F.col("refusal"), "refusal").when(F.col("foreign"), "language").alias("defect"))
 
     framed = told.where("kind = 'framed'")
     use = framed.groupBy("what", "language").agg(F.count(F.lit(1)).alias("n")).groupBy("what").agg(F.max_by("language", F.struct("n", "language")).alias("at_home"))
-    framed = framed.join(use, "what").where("at_home <> language").select("row_id", "field_name", F.lit("language").alias("defect"))
+    framed = looked_up(framed, checkpointed(use), ["what"]).where("at_home <> language").select("row_id", "field_name", F.lit("language").alias("defect"))
 
     plain = told.where("kind in ('empty', 'copy', 'language', 'truncated')").select("row_id", "field_name", F.col("kind").alias("defect"))
     return plain.union(open_.where("defect is not null")).union(framed)
