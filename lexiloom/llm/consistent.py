@@ -246,20 +246,21 @@ def _token_key(token: Column, language: Column) -> Column:
     )
 
 
-def consistent_forms(flat: DataFrame, labels: DataFrame) -> DataFrame:
+def consistent_forms(flat: DataFrame, labels: DataFrame, shown: DataFrame) -> DataFrame:
     """(language, text, form): the consistent form of each distinct name text that isn't `clean`.
 
     What a text alone tells is settled token by token. For tokens in doubt (a kana or an ideograph at the
     edge of a kana run, a Latin token in Cyrillic text whose letters all have doubles, a dotless i) the
-    spellings that look alike are counted over all name cells, the other options and the labels, and the
-    most frequent one is the consistent one: a name that everyone writes so stays. On a tie the token
+    spellings that look alike are counted over the options (`shown`: language, text, n), the subjects, the
+    labels and the texts in question themselves, and the most frequent one is the consistent one: a name that everyone writes so stays. On a tie the token
     stays too. Everything runs on distinct texts with their counts.
     """
-    options = [F.struct("language", F.col(f"option_{c}").alias("text")) for c in "bcd"]
-    shown = name_cells(flat).select("language", "text").union(flat.select(F.explode(F.array(*options)).alias("c")).select("c.language", "c.text"))
-    said = labels.select(F.explode("labels").alias("language", "text"))
-    texts = shown.union(said).where("text is not null").groupBy("language", "text").agg(F.count(F.lit(1)).alias("n"))
-    texts = checkpointed(texts.withColumn("clean", clean(F.col("text"), F.col("language"))))
+    is_clean = clean(F.col("text"), F.col("language"))
+    cells = name_cells(flat).where("text is not null").where(~is_clean).groupBy("language", "text").agg(F.count(F.lit(1)).alias("n"))
+    cells = checkpointed(cells)
+    subjects = flat.where("subject is not null").groupBy(F.lit("en").alias("language"), F.col("subject").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    said = labels.select(F.explode("labels").alias("language", "text"), F.lit(1).alias("n")).where("text is not null")
+    texts = shown.select("language", "text", "n").union(subjects).union(said).where(is_clean).withColumn("clean", F.lit(True)).union(cells.withColumn("clean", F.lit(False)))
     odd = texts.where("not clean").select("language", "text", "n", _settled_udf("text", "language").alias("s")).select("language", "text", "n", "s.form", "s.doubtful")
     odd = checkpointed(odd)
     lang, token = F.col("language"), F.col("token")
@@ -277,19 +278,16 @@ def consistent_forms(flat: DataFrame, labels: DataFrame) -> DataFrame:
     return odd.where("size(doubtful) = 0").select("language", "text", "form").union(told)
 
 
-def p2_forms(flat: DataFrame, labels: DataFrame) -> DataFrame:
-    """(row_id, field_name, consistent): every name cell in its consistent form; null cells stay null.
-
-    Repeated rows give a row each; a null language is read as one written in Latin letters.
-    """
-    changed = checkpointed(consistent_forms(flat, labels).where("form <> text").withColumn("language", F.coalesce("language", F.lit(""))))
+def written_consistently(flat: DataFrame, labels: DataFrame, shown: DataFrame) -> DataFrame:
+    """(row_id, field_name, consistent): every name cell in its consistent form; null cells stay null."""
+    changed = checkpointed(consistent_forms(flat, labels, shown).where("form <> text").withColumn("language", F.coalesce("language", F.lit(""))))
     cells = name_cells(flat).withColumn("language", F.coalesce("language", F.lit("")))
     return looked_up(cells, changed, ["language", "text"], "left").select("row_id", "field_name", F.coalesce("form", "text").alias("consistent"))
 
 
-def p2_found(flat: DataFrame, labels: DataFrame, defective: DataFrame) -> DataFrame:
+def odd_cells(flat: DataFrame, labels: DataFrame, shown: DataFrame, defective: DataFrame) -> DataFrame:
     """(row_id, field_name): cells that are not in their consistent form, but for those in `defective`."""
-    changed = checkpointed(consistent_forms(flat, labels).where("form <> text").select(F.coalesce("language", F.lit("")).alias("language"), "text"))
+    changed = checkpointed(consistent_forms(flat, labels, shown).where("form <> text").select(F.coalesce("language", F.lit("")).alias("language"), "text"))
     cells = name_cells(flat).withColumn("language", F.coalesce("language", F.lit(""))).where(~clean(F.col("text"), F.col("language")))
     odd = looked_up(cells, changed, ["language", "text"], "left_semi").select("row_id", "field_name")
     return odd.join(defective.select("row_id", "field_name"), ["row_id", "field_name"], "left_anti")

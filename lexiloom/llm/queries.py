@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.llm import consistent, encode, grouping, languages, leaks, overlap, responses
+from lexiloom.llm import encode, grouping, languages, leaks, overlap, responses
 from lexiloom.plans.session import table
 
 
@@ -19,8 +19,8 @@ QUERIES = {
     "p6_ids": _on(encode.p6_ids, "documents"),
     "p7_found": _on(leaks.leaked_items, "documents", "eval_items"),
     "p7_report": _on(leaks.p7_report, "documents", "eval_items"),
-    "p2_found": lambda s, d: consistent.p2_found(table(s, d, "flat"), table(s, d, "entity_labels"), responses.response_defects(table(s, d, "flat"), table(s, d, "entity_labels"))),
-    "p2_forms": _on(consistent.p2_forms, "flat", "entity_labels"),
+    "p2_found": _on(responses.p2_found, "flat", "entity_labels"),
+    "p2_forms": _on(responses.p2_forms, "flat", "entity_labels"),
     "p4_found": _on(responses.response_defects, "flat", "entity_labels"),
     "p4_report": _on(responses.p4_report, "flat", "entity_labels"),
     "p8_found": _on(languages.p8_found, "documents", "eval_items"),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lexiloom.llm.consistent import _SCRIPT_OF, canonical, clean, script_of
+from lexiloom.llm.consistent import _SCRIPT_OF, canonical, clean, odd_cells, script_of, written_consistently
 from lexiloom.llm.grouping import components
 from lexiloom.plans.session import checkpointed, is_small, looked_up
 
@@ -54,18 +54,25 @@ def responses(flat: DataFrame) -> DataFrame:
     return rows.withColumn("key", key_of(F.col("text"), F.col("language")))
 
 
-def names(flat: DataFrame, labels: DataFrame) -> DataFrame:
+def shown_names(flat: DataFrame) -> DataFrame:
+    """(entity, language, text, n, n_rest): how often an option's text stands for its entity, and options b to d alone.
+
+    Counts are combined within tasks, so an entity in a third of all rows costs no more.
+    """
+    options = F.array(*[F.struct(F.element_at("option_ids", i + 1).alias("entity"), F.lit(int(i > 0)).alias("rest"), F.col(f"option_{c}").alias("text")) for i, c in enumerate("abcd")])
+    shown = flat.where("size(option_ids) >= 4").select("language", F.explode(options).alias("o")).select("language", "o.*").where("entity is not null and language is not null and text is not null")
+    return shown.groupBy("entity", "language", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("rest").alias("n_rest"))
+
+
+def names(shown: DataFrame, labels: DataFrame) -> DataFrame:
     """(entity, language, key): what each entity is called in each language.
 
     The labels, and for each entity and language the text that options b to d show most often (they are
     aligned with option_ids); where those never show it, the most frequent text of option a that occurs
-    at least twice. Counts are combined within tasks, so an entity in a third of all rows costs no more.
+    at least twice.
     """
-    options = F.array(*[F.struct(F.element_at("option_ids", i + 1).alias("entity"), F.lit(i == 0).alias("first"), F.col(f"option_{c}").alias("text")) for i, c in enumerate("abcd")])
-    shown = flat.where("size(option_ids) >= 4").select("language", F.explode(options).alias("o")).select("language", "o.*").where("entity is not null and language is not null and text is not null")
-    n = shown.groupBy("entity", "language", "text", "first").agg(F.count(F.lit(1)).alias("n"))
-    n = n.select("entity", "language", key_of(F.col("text"), F.col("language")).alias("key"), "first", "n").where("key <> ''")
-    n = n.groupBy("entity", "language", "key").agg(F.sum(F.when(~F.col("first"), F.col("n")).otherwise(0)).alias("n_rest"), F.sum("n").alias("n"))
+    n = shown.select("entity", "language", key_of(F.col("text"), F.col("language")).alias("key"), "n_rest", "n").where("key <> ''")
+    n = n.groupBy("entity", "language", "key").agg(F.sum("n_rest").alias("n_rest"), F.sum("n").alias("n"))
     best = F.row_number().over(Window.partitionBy("entity", "language").orderBy(F.desc("n_rest"), F.desc("n"), "key"))
     top = n.withColumn("best", best).where("best = 1 and (n_rest > 0 or n > 1)").select("entity", "language", "key")
     said = labels.select(F.col("id").alias("entity"), F.explode("labels").alias("language", "text")).where("text is not null and id is not null")
@@ -240,7 +247,7 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
     return openings.select("opening").join(found, F.col("opening") == F.col("node"), "left").select("opening", F.coalesce("label", "opening").alias("cluster"))
 
 
-def response_defects(flat: DataFrame, labels: DataFrame) -> DataFrame:
+def response_defects(flat: DataFrame, labels: DataFrame, shown: DataFrame | None = None) -> DataFrame:
     """(row_id, field_name, defect): each defective response with its one defect.
 
     A response that is a name in its row's language is sound; that takes one lookup in the names, which
@@ -250,9 +257,9 @@ def response_defects(flat: DataFrame, labels: DataFrame) -> DataFrame:
     have no entity in common, is a template of refusals (an unknown name recurs with its entity only), however short it is. Names within a sentence have a frame; a frame belongs to the language that
     uses it most, and a row of another language has the wrong one. Null questions, subjects, options,
     languages and ids are allowed; with a null language only empty, copy and refusal can be told.
-    Repeated rows count each.
+    Repeated rows count each. `shown` spares counting shown_names(flat) again.
     """
-    called = checkpointed(names(flat, labels))
+    called = checkpointed(names(shown_names(flat) if shown is None else shown, labels))
     known = checkpointed(called.select("language", "key").distinct())
     cells = looked_up(responses(flat), known, ["language", "key"], "left_anti")
     lines = checkpointed(called.groupBy("entity").agg(F.concat_ws("\n", F.sort_array(F.collect_set(F.concat_ws("\t", "language", "key")))).alias("names")))  # twelve languages
@@ -286,6 +293,20 @@ def _opening_udf(key: pd.Series, language: pd.Series) -> pd.Series:
     return pd.Series([opening(k, lang) for k, lang in zip(key, language)], index=key.index, dtype=object)
 
 
+def p2_found(flat: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row_id, field_name): cells that are not in their consistent form, but for defective responses."""
+    shown = checkpointed(shown_names(flat))
+    return odd_cells(flat, labels, shown, response_defects(flat, labels, shown))
+
+
+def p2_forms(flat: DataFrame, labels: DataFrame) -> DataFrame:
+    """(row_id, field_name, consistent): every name cell in its consistent form; null cells stay null.
+
+    Repeated rows give a row each; a null language is read as one written in Latin letters.
+    """
+    return written_consistently(flat, labels, shown_names(flat))
+
+
 def p4_report(flat: DataFrame, labels: DataFrame) -> DataFrame:
     """(language, field_name, defect, n): defects per language and cell."""
     d = response_defects(flat, labels)

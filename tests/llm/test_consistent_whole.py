@@ -9,7 +9,7 @@ FLAT = "row_id long, language string, question string, subject string, option_a
 
 
 def table(spark, cells):
-    rows = [(i, lang, None, subject, text, None, None, None, text, None, "f", 1) for i, (lang, text, subject) in enumerate(cells)]
+    rows = [(i, lang, None, subject, text, None, None, None, text, ["Q1", "Q2", "Q3", "Q4"], "f", 1) for i, (lang, text, subject) in enumerate(cells)]
     return spark.createDataFrame(rows, FLAT), spark.createDataFrame([("Q1", {"de": "Neu"}), (None, None)], "id string, labels map<string,string>")
 
 
@@ -17,15 +17,15 @@ def test_forms_are_as_most_rows_spell(spark):
     ja = ["ダム工事", "サッカー二部", "ロシア八景", "キリスト口伝", "口コミ", "ヴィソンへの道", "八ヶ岳", "ナイロ市", "ナイロ市", "ナイ口市", "ギ力ド", "アメリカ", "アメリカ", "アメリ力", "自動車エ業"]
     others = [("ru", "Xe", "Xe"), ("ru", "Сура", "Сура"), ("ru", "Сура", "Сура"), ("ru", "Cypa", "Cypa"), ("de", "Diyarbakır", "Tom"), ("de", "Bılder", "Τom"), ("de", "Bilder", None), ("de", "Bilder", ""), (None, "Ｌab", "x"), ("en", "a " * 30_000, "b")]
     flat, labels = table(spark, [("ja", x, "Tom") for x in ja] + others)
-    forms = {(r.row_id, r.field_name): r.consistent for r in consistent.p2_forms(flat, labels).collect()}
+    forms = {(r.row_id, r.field_name): r.consistent for r in responses.p2_forms(flat, labels).collect()}
     want = {"ナイ口市": "ナイロ市", "ギ力ド": "ギカド", "アメリ力": "アメリカ", "自動車エ業": "自動車工業", "Cypa": "Сура", "Bılder": "Bilder", "Ｌab": "Lab", "a " * 30_000: ("a " * 30_000).strip()}
     texts = [*ja, *(t for _, t, _ in others)]
     assert [forms[i, "option_a"] for i in range(len(texts))] == [want.get(t, t) for t in texts]
-    odd = {(r.row_id, r.field_name) for r in consistent.p2_found(flat, labels, spark.createDataFrame([], "row_id long, field_name string")).collect()}
+    odd = {(r.row_id, r.field_name) for r in consistent.odd_cells(flat, labels, responses.shown_names(flat), spark.createDataFrame([], "row_id long, field_name string")).collect()}
     subjects = {texts.index(x) for x in ("Сура", "Bılder")} | {len(ja) + 2}  # Cyrillic and Greek letters in English names
     assert odd == {(i, f) for i, t in enumerate(texts) if t in want for f in ("option_a", "answer_text")} | {(i, "subject") for i in subjects}
     none = flat.limit(0)
-    assert consistent.p2_forms(none, labels).count() == consistent.p2_found(none, labels.limit(0), none.select("row_id", F.lit("x").alias("field_name"))).count() == 0
+    assert responses.p2_forms(none, labels).count() == responses.p2_found(none, labels.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("language", ["en", "de", "ru", "ar", "bn", "ja", "zh", None])

@@ -107,7 +107,7 @@ def test_defects_and_forms(spark):
     found = responses.response_defects(flat, labels)
     got = {r.row_id: r.defect for r in found.where("field_name = 'answer_text'").collect()}
     assert got == {k: v for k, v in want.items() if v}
-    odd = consistent.p2_found(flat, labels, found).collect()
+    odd = responses.p2_found(flat, labels).collect()
     assert [(flat.where(F.col("row_id") == r.row_id).first().answer_text, r.field_name) for r in odd] == [("Rеd House", "answer_text")]
     assert responses.response_defects(flat.limit(0), labels.limit(0)).count() == 0
 
