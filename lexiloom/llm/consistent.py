@@ -251,13 +251,13 @@ def consistent_forms(flat: DataFrame, labels: DataFrame, shown: DataFrame) -> Da
 
     What a text alone tells is settled token by token. For tokens in doubt (a kana or an ideograph at the
     edge of a kana run, a Latin token in Cyrillic text whose letters all have doubles, a dotless i) the
-    spellings that look alike are counted over the options (`shown`: language, text, n), the subjects, the
-    labels and the texts in question themselves, and the most frequent one is the consistent one: a name that everyone writes so stays. On a tie the token
+    spellings that look alike are counted over the options (`shown`: language, text, n), the subjects and the
+    labels, and the most frequent one is the consistent one: a name that everyone writes so stays. On a tie the token
     stays too. Everything runs on distinct texts with their counts.
     """
     is_clean = clean(F.col("text"), F.col("language"))
-    cells = name_cells(flat).where("text is not null").where(~is_clean).groupBy("language", "text").agg(F.count(F.lit(1)).alias("n"))
-    cells = checkpointed(cells)
+    cells = name_cells(flat).where("text is not null").where(~is_clean).groupBy("language", "text").agg(F.count_if(F.col("field_name") != "answer_text").alias("n"))
+    cells = checkpointed(cells.repartition(flat.sparkSession.sparkContext.defaultParallelism))  # few bytes, but much to do for each
     subjects = flat.where("subject is not null").groupBy(F.lit("en").alias("language"), F.col("subject").alias("text")).agg(F.count(F.lit(1)).alias("n"))
     said = labels.select(F.explode("labels").alias("language", "text"), F.lit(1).alias("n")).where("text is not null")
     texts = shown.select("language", "text", "n").union(subjects).union(said).where(is_clean).withColumn("clean", F.lit(True)).union(cells.withColumn("clean", F.lit(False)))
