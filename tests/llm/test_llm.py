@@ -1,6 +1,7 @@
 import random
 import string
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,12 +154,12 @@ def test_languages(spark):
     assert languages.p8_found(df.limit(0), items.limit(0)).count() == 0
 
 
-def test_automaton_equals_brute_force():
+@pytest.mark.parametrize(("known", "text"), [("abc ", "abcd "), ("абв ", "абвг "), ("ابت ", "ابتث "), ("কখগ ", "কখগঘ "), ("あいう山川", "あいうえ山川木")])
+def test_automaton_equals_brute_force(known, text):
     rng = random.Random(1)
-    known = "".join(rng.choice("abc ") for _ in range(300))
-    parser = languages.Parser({"en": known})
-    text = "".join(rng.choice("abcd ") for _ in range(200))
-    s, k = languages.symbols(text).tolist(), languages.symbols(known).tolist()
+    of = languages.Symbols
+    known, text = ("".join(rng.choice(x) for _ in range(n)) for x, n in ((known, 300), (text, 200)))
+    k, s = of([known]).flat.tolist(), of([text]).flat.tolist()
     inside = lambda x: any(k[i : i + len(x)] == x for i in range(len(k)))
     n, cur = 1, []
     for c in s:
@@ -166,4 +167,17 @@ def test_automaton_equals_brute_force():
             cur.append(c)
         else:
             n, cur = n + 1, [c] if inside([c]) else []
-    assert parser.phrases([languages.symbols(text)])[0, 0] * len(s) == pytest.approx(n)
+    t = of([text])
+    got = languages.Tables({"x": of([known]).flat}).phrases(t.flat, np.zeros(1, np.int64), np.array([len(t.flat)]))
+    assert got[0, 0] * len(s) == pytest.approx(n)
+
+
+def test_symbols_of_a_text_do_not_depend_on_its_neighbours():
+    texts = ["", "\n\nAbc. déf!", "日本は、山。 川?", "x" * 900, "<b>Bold</b> &amp; plain", " ", "ЁЖ " * 200, "قَلَم", "是（A）。"]
+    alone = [languages.Symbols([t]) for t in texts]
+    both = languages.Symbols(texts)
+    for n, (t, one) in enumerate(zip(texts, alone)):
+        mine = [(a, b, s, c) for i, a, b, s, c in zip(both.text, both.a, both.b, both.script, both.letters) if i == n and c]
+        assert mine == [(a, b, s, c) for a, b, s, c in zip(one.a, one.b, one.script, one.letters) if c]
+        assert all(b - a <= languages.LONGEST for a, b, _, _ in mine)
+    assert languages.detect(languages.Parser({}), []) == [] and languages.detect(languages.Parser({}), ["abc", None or ""]) == [[], []]
