@@ -246,8 +246,13 @@ def _token_key(token: Column, language: Column) -> Column:
     )
 
 
-def consistent_forms(flat: DataFrame, labels: DataFrame, shown: DataFrame) -> DataFrame:
-    """(language, text, form): the consistent form of each distinct name text that isn't `clean`.
+def unclean_cells(flat: DataFrame) -> DataFrame:
+    """The name cells that aren't `clean`, written to the shared folder as they are needed twice."""
+    return checkpointed(name_cells(flat).where("text is not null").where(~clean(F.col("text"), F.col("language"))))
+
+
+def consistent_forms(cells: DataFrame, flat: DataFrame, labels: DataFrame, shown: DataFrame) -> DataFrame:
+    """(language, text, form): the consistent form of each distinct text of `cells`, which aren't `clean`.
 
     What a text alone tells is settled token by token. For tokens in doubt (a kana or an ideograph at the
     edge of a kana run, a Latin token in Cyrillic text whose letters all have doubles, a dotless i) the
@@ -256,7 +261,7 @@ def consistent_forms(flat: DataFrame, labels: DataFrame, shown: DataFrame) -> Da
     stays too. Everything runs on distinct texts with their counts.
     """
     is_clean = clean(F.col("text"), F.col("language"))
-    cells = name_cells(flat).where("text is not null").where(~is_clean).groupBy("language", "text").agg(F.count_if(F.col("field_name") != "answer_text").alias("n"))
+    cells = cells.groupBy("language", "text").agg(F.count_if(F.col("field_name") != "answer_text").alias("n"))
     cells = checkpointed(cells.repartition(flat.sparkSession.sparkContext.defaultParallelism))  # few bytes, but much to do for each
     subjects = flat.where("subject is not null").groupBy(F.lit("en").alias("language"), F.col("subject").alias("text")).agg(F.count(F.lit(1)).alias("n"))
     said = labels.select(F.explode("labels").alias("language", "text"), F.lit(1).alias("n")).where("text is not null")
@@ -280,14 +285,14 @@ def consistent_forms(flat: DataFrame, labels: DataFrame, shown: DataFrame) -> Da
 
 def written_consistently(flat: DataFrame, labels: DataFrame, shown: DataFrame) -> DataFrame:
     """(row_id, field_name, consistent): every name cell in its consistent form; null cells stay null."""
-    changed = checkpointed(consistent_forms(flat, labels, shown).where("form <> text").withColumn("language", F.coalesce("language", F.lit(""))))
+    changed = checkpointed(consistent_forms(unclean_cells(flat), flat, labels, shown).where("form <> text").withColumn("language", F.coalesce("language", F.lit(""))))
     cells = name_cells(flat).withColumn("language", F.coalesce("language", F.lit("")))
     return looked_up(cells, changed, ["language", "text"], "left").select("row_id", "field_name", F.coalesce("form", "text").alias("consistent"))
 
 
 def odd_cells(flat: DataFrame, labels: DataFrame, shown: DataFrame, defective: DataFrame) -> DataFrame:
     """(row_id, field_name): cells that are not in their consistent form, but for those in `defective`."""
-    changed = checkpointed(consistent_forms(flat, labels, shown).where("form <> text").select(F.coalesce("language", F.lit("")).alias("language"), "text"))
-    cells = name_cells(flat).withColumn("language", F.coalesce("language", F.lit(""))).where(~clean(F.col("text"), F.col("language")))
-    odd = looked_up(cells, changed, ["language", "text"], "left_semi").select("row_id", "field_name")
+    cells = unclean_cells(flat)
+    changed = checkpointed(consistent_forms(cells, flat, labels, shown).where("form <> text").select(F.coalesce("language", F.lit("")).alias("language"), "text"))
+    odd = looked_up(cells.withColumn("language", F.coalesce("language", F.lit(""))), changed, ["language", "text"], "left_semi").select("row_id", "field_name")
     return odd.join(defective.select("row_id", "field_name"), ["row_id", "field_name"], "left_anti")

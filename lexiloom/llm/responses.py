@@ -42,8 +42,7 @@ def _name_key_udf(text: pd.Series, language: pd.Series) -> pd.Series:
 
 def key_of(text: Column, language: Column) -> Column:
     """name_key() as a column; clean texts never leave the JVM."""
-    easy = clean(text, language)
-    return F.when(easy, F.lower(text)).otherwise(_name_key_udf(F.when(~easy, text), language))
+    return F.coalesce(_name_key_udf(F.when(~clean(text, language), text), language), F.lower(text))
 
 
 def responses(flat: DataFrame) -> DataFrame:
