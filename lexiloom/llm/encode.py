@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.plans.session import checkpointed
+
 #: Where the public vocabulary files lie; only the driver reads them.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS_DIR", "/opt/tokenizers")
 #: Fixed value: the pre-tokenisation pattern of the vocabulary.
@@ -55,7 +57,8 @@ def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     boundary depends only on the text behind it. Boundaries behind white space don't count, as the pattern
     would take a run of it for one pre-token if the piece ended there. The pieces between such points are encoded in parallel
     and their ids put together in order. Where two chunks share no boundary (one pre-token is longer
-    than the overlap), the text is one piece across that cut: neighbouring chunks are joined there.
+    than the overlap), the text is one piece across that cut: neighbouring chunks are joined there. A
+    text is walked once to cut it, and each piece comes out of the chunk that it lies in.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(ranks or load_ranks())
@@ -77,19 +80,24 @@ def encode_texts(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
     short = rows.where(f"t is null or length(t) <= {chunk}").select(F.col("k").alias(key), ids_of("t").alias("ids"))
-    starts = F.sequence(F.lit(0), F.length("t") - 1, F.lit(chunk))
-    long = rows.where(f"length(t) > {chunk}").withColumn("u", F.monotonically_increasing_id())
-    cuts = long.select("k", "u", F.length("t").alias("n"), F.col("t"), F.explode(starts).alias("at"))
-    cuts = cuts.select("k", "u", "n", "at", F.expr(f"substring(t, at + 1, {chunk + overlap})").alias("c")).repartition("u", "at")
-    cuts = cuts.withColumn("z", zones("c", "at", F.col("at") + chunk + overlap >= F.col("n")))
-    order = Window.partitionBy("u").orderBy("at")
-    before = F.lag("z.tail").over(order)
-    sync = F.array_min(F.array_intersect(before, F.col("z.head")))  # positions at + 0 .. at + overlap
-    at = cuts.select("k", "u", "n", "at", F.when(F.col("at") == 0, F.lit(0)).otherwise(sync).alias("sync")).where("sync is not null")
-    at = at.withColumn("stop", F.coalesce(F.lead("sync").over(order), F.col("n")))
-    pieces = long.select("u", "t").join(at, "u").select("k", "u", "sync", F.expr("substring(t, sync + 1, stop - sync)").alias("p")).repartition("u", "sync")
-    pieces = pieces.select("k", "u", "sync", ids_of("p").alias("ids"))
-    whole = pieces.groupBy("u").agg(F.first("k").alias(key), F.sort_array(F.collect_list(F.struct("sync", "ids"))).alias("p"))
+    long = rows.where(f"length(t) > {chunk}").select("k", F.monotonically_increasing_id().alias("u"), F.explode(F.array(F.regexp_extract_all("t", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)))).alias("c"))
+    ahead = F.transform("c", lambda c, i: F.concat(c, F.coalesce(F.substring(F.get("c", i + 1), 1, overlap), F.lit(""))))
+    cuts = long.select("k", "u", F.size("c").alias("n"), F.posexplode(ahead).alias("i", "c")).withColumn("at", F.col("i") * chunk)
+    cuts = checkpointed(cuts.repartition("u", "i"))  # after this a text's number no longer changes
+    told = cuts.select("u", "i", "at", zones("c", "at", F.col("i") + 1 == F.col("n")).alias("z"), "n")
+    order = Window.partitionBy("u").orderBy("i")
+    sync = F.array_min(F.array_intersect(F.lag("z.tail").over(order), F.col("z.head")))  # positions at + 0 .. at + overlap
+    told = told.select("u", "i", "at", "n", F.when(F.col("i") == 0, F.lit(0)).otherwise(sync).alias("sync"))
+    told = told.select("u", "i", "at", "sync", F.lead("sync").over(order).alias("next"), (F.col("i") + 1 == F.col("n")).alias("last"), F.count("sync").over(order).alias("piece"))
+    begin = F.coalesce(F.col("sync") - F.col("at"), F.lit(0))
+    stop = F.when(F.col("last"), F.lit(chunk + overlap)).otherwise(F.coalesce(F.col("next") - F.col("at"), F.lit(chunk)))
+    alone = F.col("sync").isNotNull() & (F.col("last") | F.col("next").isNotNull())
+    parts = cuts.select("k", "u", "i", "c").join(told.select("u", "i", "piece", alone.alias("alone"), (begin + 1).alias("from"), (stop - begin).alias("len")), ["u", "i"])
+    parts = parts.select("k", "u", "i", "piece", "alone", F.expr("substring(c, from, len)").alias("p"))
+    joined = parts.where("not alone").groupBy("u", "piece").agg(F.first("k").alias("k"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), "").alias("p"))
+    pieces = parts.where("alone").select("k", "u", "piece", "p").union(joined.select("k", "u", "piece", "p"))
+    pieces = pieces.select("k", "u", "piece", ids_of("p").alias("ids"))
+    whole = pieces.groupBy("u").agg(F.first("k").alias(key), F.sort_array(F.collect_list(F.struct("piece", "ids"))).alias("p"))
     return short.union(whole.select(key, F.flatten("p.ids").alias("ids")))
 
 

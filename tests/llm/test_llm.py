@@ -114,9 +114,11 @@ def test_defects_and_forms(spark):
 
 
 def test_encoding(spark):
-    rows = [(1, "a" * 3000), (2, " " * 900 + "x"), (3, "it's we'll go \n\n on " * 90), (4, None), (5, ""), (6, "日本語の文章。" * 80), (7, "x"), (8, "x")]
+    rows = [(1, "a" * 3000), (2, " " * 900 + "x"), (3, "it's we'll go \n\n on " * 90), (4, None), (5, ""), (6, "日本語の文章。" * 80), (7, "x"), (8, "x"), (9, "so it 😀goes on. " * 60), (9, "so it 😀goes on. " * 60), (None, "no key " * 50), (10, "ab " * 20 + "c" * 400 + " de" * 90)]
     df = spark.createDataFrame([(k, t, "n") for k, t in rows], "doc_id long, text string, ids string")
-    got = {r.doc_id: list(r.ids) for r in encode.encode_texts(df, chunk=128, overlap=32).collect()}
+    found = encode.encode_texts(df, chunk=128, overlap=32).collect()
+    got = {r.doc_id: list(r.ids) for r in found}
+    assert len(found) == len(rows)
     whole = encode._encoding(encode.load_ranks())
     assert got == {k: whole.encode_ordinary(t or "") for k, t in rows}
     assert all(encode.decode(got[k], encode.load_ranks()) == (t or "") for k, t in rows)
