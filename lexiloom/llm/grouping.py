@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.ids import read_fact_id, read_id
-from lexiloom.plans.session import checkpointed
+from lexiloom.plans.session import checkpointed, looked_up
 
 SPLITS = ("train", "validation", "test")
 SHARES = (0.8, 0.1, 0.1)
 #: Groups above this share of all rows are placed one by one; there are at most 1 / HEAVY of them.
-HEAVY = 0.0005
-#: Relations, largest first, whose light groups make up for what heavy groups took; in the others (each under
-#: 1 / RELATIONS of all rows) the light groups are split by the shares as they are.
-RELATIONS = 10_000
+HEAVY = 0.0002
+#: While they are placed, the largest relations count one by one and all others together, so that the driver
+#: holds at most OWN + 1 numbers a heavy group; every relation's light groups then make up for what they took.
+OWN = 255
 #: Parts in which the light groups of a stratum are ranked.
 PARTS = 64
 
@@ -62,71 +62,89 @@ def p5_found(parallel: DataFrame, redirects: DataFrame) -> DataFrame:
     """(row_a, row_b): the smallest row of each group of two or more, with each other row of it.
 
     The smallest row comes from an aggregate that is combined within tasks; only one row a group is
-    joined back, so a group with a third of all rows is split over tasks by the adaptive skew join.
+    looked up, with salted keys where there are many groups, so a group with a third of all rows is spread.
     """
     rows = checkpointed(subject_groups(parallel, redirects))
-    first = rows.groupBy("group_id").agg(F.min("row_id").alias("row_a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return rows.join(first, "group_id").where("row_id <> row_a").select("row_a", F.col("row_id").alias("row_b"))
-
-
-def grouped_splits(rows: DataFrame, shares: Sequence[float] = SHARES, splits: Sequence[str] = SPLITS) -> DataFrame:
+    first = checkpointed(rows.groupBy("group_id").agg(F.min("row_id").alias("row_a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    return looked_up(rows, first, ["group_id"]).where("row_id <> row_a").select("row_a", F.col("row_id").alias("row_b"))
+
+
+def _placed(made: list, target: dict[int, list[float]], n_splits: int) -> dict[str, int]:
+    """The split of each heavy group, largest first: where the squared deviation of its relations grows least."""
+    have = {r: [0.0] * n_splits for r in target}
+    makes: dict[str, list] = {}
+    for g, r, n in made:
+        makes.setdefault(g, []).append((r, n))
+    placed = {}
+    for g in sorted(makes, key=lambda g: (-sum(n for _, n in makes[g]), g)):
+        def cost(i: int, make=makes[g]) -> float:
+            return sum(((have[r][i] + n - target[r][i]) ** 2 - (have[r][i] - target[r][i]) ** 2) / max(1.0, target[r][i]) for r, n in make)
+        placed[g] = min(range(n_splits), key=lambda i: (cost(i), i))
+        for r, n in makes[g]:
+            have[r][placed[g]] += n
+    return placed
+
+
+def grouped_splits(rows: DataFrame, shares: Sequence[float] = SHARES, splits: Sequence[str] = SPLITS, heavy_share: float = HEAVY) -> DataFrame:
     """(group_id, new_split): each group whole in one split, shares near `shares` overall and per relation.
 
-    rows: (group_id, relation). Groups above HEAVY of all rows, at most 1 / HEAVY of them, are placed one
-    by one, largest first, each in the split where the squared deviation from the target counts of its
-    relations stays smallest. What they took is subtracted from each relation's shares. The light groups
-    are ordered within their stratum (main relation, then make-up) and take their place in a golden-ratio
-    sequence, whose every stretch falls into the shares evenly; ranks are counted in PARTS parts and the
-    sizes of the parts added up, so no task ranks a whole stratum. Null relations are one relation.
+    rows: (group_id, relation). Groups above `heavy_share` of all rows are placed one by one, largest first,
+    each in the split where the squared deviation from the target counts of its relations grows least. What
+    they took is subtracted from each relation's shares. The light groups are ordered within their stratum
+    (main relation, then make-up, that is how many rows of which relations) and take their place in a
+    golden-ratio sequence, whose every stretch falls into the shares evenly, so all make-ups, and with them
+    all relations of groups that span several, are split evenly. Ranks are counted in parts whose
+    sizes are added up, so no task ranks a whole stratum. Null relations are one relation; no rows give none.
     """
-    counts = rows.groupBy("group_id", F.coalesce("relation", F.lit("")).alias("relation")).agg(F.count(F.lit(1)).alias("n"))
-    groups = checkpointed(
-        counts.groupBy("group_id").agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.struct("relation", "n"))).alias("make"), F.max_by("relation", F.struct("n", "relation")).alias("stratum"))
-    )
-    per_relation = {r["relation"]: r["n"] for r in groups.select(F.explode("make").alias("m")).groupBy("m.relation").agg(F.sum("m.n").alias("n")).orderBy(F.desc("n"), "relation").limit(RELATIONS).collect()}
-    total = groups.agg(F.sum("size")).first()[0] or 0
-    heavy = groups.where(F.col("size") > max(1, HEAVY * total)).orderBy(F.desc("size"), "group_id").collect()  # at most 1 / HEAVY rows
-    target = {r: [s * n for s in shares] for r, n in per_relation.items()}
-    have = {r: [0.0] * len(shares) for r in per_relation}
-    placed = []
-    for g in heavy:
-        def cost(i: int, g=g) -> float:
-            return sum(((have[r][i] + n - target[r][i]) ** 2 - (have[r][i] - target[r][i]) ** 2) / max(1.0, target[r][i]) for r, n in g["make"] if r in have)
-        best = min(range(len(shares)), key=lambda i: (cost(i), i))
-        for r, n in g["make"]:
-            if r in have:
-                have[r][best] += n
-        placed.append((g["group_id"], splits[best]))
     spark = rows.sparkSession
-    edges = []
-    for r, n in per_relation.items():
-        left = [max(0.0, t - h) for t, h in zip(target[r], have[r])]
-        s = sum(left) or 1.0
-        edges.append((r, [sum(left[: i + 1]) / s for i in range(len(shares) - 1)]))
-    cut = spark.createDataFrame(edges or [("", [1.0] * (len(shares) - 1))], "stratum string, edges array<double>")
-    done = spark.createDataFrame(placed, "group_id string, new_split string")
-    light = groups.where(F.col("size") <= max(1, HEAVY * total)).select("group_id", "stratum", F.xxhash64(F.to_json("make")).alias("kind"))
-    light = light.withColumn("part", F.pmod(F.col("kind"), F.lit(PARTS)) * PARTS + F.pmod(F.xxhash64("group_id"), F.lit(PARTS)))
+    counts = checkpointed(rows.groupBy("group_id", F.coalesce("relation", F.lit("")).alias("relation")).agg(F.count(F.lit(1)).alias("n")))
+    groups = checkpointed(counts.groupBy("group_id").agg(F.sum("n").alias("size"), F.expr("bit_xor(xxhash64(relation, n))").alias("kind"), F.max_by("relation", F.struct("n", "relation")).alias("stratum")))
+    per = checkpointed(counts.groupBy("relation").agg(F.sum("n").alias("total")))
+    total = per.agg(F.sum("total")).first()[0] or 0
+    limit = max(1, heavy_share * total)
+    heavy = groups.where(F.col("size") > limit).select("group_id")  # at most 1 / heavy_share rows
+    own = spark.createDataFrame([(r["relation"], i) for i, r in enumerate(per.orderBy(F.desc("total"), "relation").limit(OWN).collect())], "relation string, r int")
+    numbered = lambda df: df.join(F.broadcast(own), "relation", "left").withColumn("r", F.coalesce("r", F.lit(OWN)))
+    target = {r["r"]: [s * r["n"] for s in shares] for r in numbered(per).groupBy("r").agg(F.sum("total").alias("n")).collect()}  # OWN + 1 rows
+    taken = checkpointed(counts.join(F.broadcast(heavy), "group_id", "left_semi"))
+    made = numbered(taken).groupBy("group_id", "r").agg(F.sum("n").alias("n")).collect()  # at most (OWN + 1) / heavy_share rows
+    placed = _placed([tuple(r) for r in made], target, len(shares))
+    done = spark.createDataFrame(list(placed.items()), "group_id string, at int")
+    have = taken.join(F.broadcast(done), "group_id").groupBy("relation").agg(*[F.sum(F.when(F.col("at") == i, F.col("n")).otherwise(0)).alias(f"h{i}") for i in range(len(shares))])
+    left = [F.greatest(F.lit(0.0), F.col("total") * s - F.coalesce(f"h{i}", F.lit(0))) for i, s in enumerate(shares)]
+    every = sum(left[1:], left[0])
+    edges = [F.when(every > 0, sum(left[1 : i + 1], left[0]) / every).otherwise(float(sum(shares[: i + 1]))) for i in range(len(shares) - 1)]
+    cut = checkpointed(per.join(have, "relation", "left").select(F.col("relation").alias("stratum"), F.array(*edges).alias("edges")))
+
+    light = groups.where(F.col("size") <= limit).withColumn("part", F.pmod("kind", F.lit(PARTS)) * PARTS + F.pmod(F.xxhash64("group_id"), F.lit(PARTS)))
     sizes = light.groupBy("stratum", "part").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.select("stratum", "part", F.sum("c").over(Window.partitionBy("stratum").orderBy("part")).alias("upto"), "c")
+    sizes = checkpointed(sizes.select("stratum", "part", (F.sum("c").over(Window.partitionBy("stratum").orderBy("part")) - F.col("c")).alias("before")))
     rank = F.row_number().over(Window.partitionBy("stratum", "part").orderBy("kind", "group_id"))
-    ranked = light.withColumn("rank", rank).join(sizes, ["stratum", "part"]).join(F.broadcast(cut), "stratum", "left")
-    at = (F.col("rank") + F.col("upto") - F.col("c")) * F.lit(0.6180339887498949)
-    u = at - F.floor(at)
-    plain = F.array(*[F.lit(float(sum(shares[: i + 1]))) for i in range(len(shares) - 1)])
-    which = F.size(F.filter(F.coalesce("edges", plain), lambda e: e <= u))
-    name = F.element_at(F.array(*[F.lit(s) for s in splits]), F.coalesce(which, F.lit(0)) + 1)
-    return done.union(ranked.select("group_id", name.alias("new_split")))
+    ranked = looked_up(looked_up(light.withColumn("rank", rank), sizes, ["stratum", "part"]), cut, ["stratum"])
+    at = (F.col("rank") + F.col("before")) * F.lit(0.6180339887498949)
+    which = F.size(F.filter("edges", lambda e: e <= at - F.floor(at)))
+    name = lambda i: F.element_at(F.array(*[F.lit(s) for s in splits]), i + 1)
+    return done.select("group_id", name(F.col("at")).alias("new_split")).union(ranked.select("group_id", name(which).alias("new_split")))
 
 
-def p5_splits(parallel: DataFrame, redirects: DataFrame) -> DataFrame:
-    """(row_id, group_id, new_split) of every row."""
-    rows = checkpointed(subject_groups(parallel, redirects, "relation").withColumn("relation", F.lower(F.trim(F.translate("relation", "_", " ")))))
-    return rows.select("row_id", "group_id").join(grouped_splits(rows), "group_id").select("row_id", "group_id", "new_split")
+def _with_groups(parallel: DataFrame, redirects: DataFrame) -> DataFrame:
+    return checkpointed(subject_groups(parallel, redirects, "relation").withColumn("relation", F.lower(F.trim(F.translate("relation", "_", " ")))))
 
 
-def p5_balance(parallel: DataFrame, redirects: DataFrame) -> DataFrame:
-    """(relation, new_split, n_rows, share): how the new splits fall within each relation."""
-    rows = checkpointed(subject_groups(parallel, redirects, "relation").withColumn("relation", F.lower(F.trim(F.translate("relation", "_", " ")))))
-    n = rows.join(grouped_splits(rows), "group_id").groupBy("relation", "new_split").agg(F.count(F.lit(1)).alias("n_rows"))
-    return n.withColumn("share", F.round(F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy("relation")), 4))
+def p5_splits(parallel: DataFrame, redirects: DataFrame) -> DataFrame:
+    """(row_id, group_id, new_split) of every row."""
+    rows = _with_groups(parallel, redirects)
+    return looked_up(rows.select("row_id", "group_id"), checkpointed(grouped_splits(rows)), ["group_id"]).select("row_id", "group_id", "new_split")
+
+
+def p5_balance(parallel: DataFrame, redirects: DataFrame, shares: Sequence[float] = SHARES, splits: Sequence[str] = SPLITS) -> DataFrame:
+    """(relation, new_split, n_rows, share, deviation): how the new splits fall within each relation (null is one),
+    and over all rows (relation `*`); deviation is the share less the one asked for, and 0 rows count too."""
+    rows = _with_groups(parallel, redirects)
+    n = looked_up(rows.select("relation", "group_id"), checkpointed(grouped_splits(rows, shares, splits)), ["group_id"])
+    n = n.groupBy("relation").agg(*[F.count_if(F.col("new_split") == s).alias(f"n{i}") for i, s in enumerate(splits)])
+    n = n.union(n.agg(F.lit("*"), *[F.sum(f"n{i}") for i in range(len(splits))]).where("sum(n0) is not null"))
+    each = F.array(*[F.struct(F.lit(s).alias("new_split"), F.col(f"n{i}").alias("n_rows"), F.lit(float(shares[i])).alias("asked")) for i, s in enumerate(splits)])
+    n = n.select("relation", sum((F.col(f"n{i}") for i in range(1, len(splits))), F.col("n0")).alias("total"), F.inline(each))
+    share = F.col("n_rows") / F.col("total")
+    return n.select("relation", "new_split", "n_rows", F.round(share, 4).alias("share"), F.round(share - F.col("asked"), 4).alias("deviation"))
