@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from lexiloom.operators import heavy_keys
-from lexiloom.plans import analysis, cleaning, registry, sampled  # noqa: F401  (fills the registry)
+from lexiloom.plans import analysis, cleaning, registry, release, reports, sampled  # noqa: F401  (fills the registry)
 from lexiloom.plans.session import table
 
 SPLITS = ("train", "validation", "test")
