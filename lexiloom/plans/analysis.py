@@ -267,16 +267,19 @@ def off_pool(flat):
     return x.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("go").isNull(), F.col("n")).otherwise(0)).alias("off_relation"), F.sum(F.when(F.col("ho").isNull(), F.col("n")).otherwise(0)).alias("off_all"))
 
 
-@query("a13_heuristics", "flat", sql="""select language, round(avg((longest = answer_index)::int), 6) as longest, round(avg((first_abc = answer_index)::int), 6) as alphabetical from (select language, answer_index,
- list_position([length(option_a), length(option_b), length(option_c), length(option_d)], greatest(length(option_a), length(option_b), length(option_c), length(option_d))) - 1 as longest,
- list_position([md5(option_a), md5(option_b), md5(option_c), md5(option_d)], least(md5(option_a), md5(option_b), md5(option_c), md5(option_d))) - 1 as first_abc
+_LENGTHS, _OPTIONS = "[length(option_a), length(option_b), length(option_c), length(option_d)]", "[option_a, option_b, option_c, option_d]"
+
+
+@query("a13_heuristics", "flat", sql=f"""select language, round(avg((longest = answer_index)::int), 6) as longest, round(avg((shortest = answer_index)::int), 6) as shortest, round(avg((first_abc = answer_index)::int), 6) as alphabetical from (select language, answer_index,
+ list_position({_LENGTHS}, list_max({_LENGTHS})) - 1 as longest, list_position({_LENGTHS}, list_min({_LENGTHS})) - 1 as shortest, list_position({_OPTIONS}, list_min({_OPTIONS})) - 1 as first_abc
  from flat where answer_index is not null and option_a is not null and option_b is not null and option_c is not null and option_d is not null) group by 1""")
 def heuristics(flat):
+    """How often the longest, the shortest and the alphabetically first option (by code point) is the answer; the most frequent gold is a14's."""
     o = [f"option_{x}" for x in "abcd"]
     rows = flat.where("answer_index is not null").na.drop(subset=o)
-    n, h = F.array(*[F.length(x) for x in o]), F.array(*[F.md5(x) for x in o])
-    hit = lambda i: (i == F.col("answer_index")).cast("int")
-    return rows.groupBy("language").agg(F.round(F.avg(hit(F.array_position(n, F.array_max(n)) - 1)), 6).alias("longest"), F.round(F.avg(hit(F.array_position(h, F.array_min(h)) - 1)), 6).alias("alphabetical"))
+    n, t = F.array(*[F.length(x) for x in o]), F.array(*o)
+    hit = lambda x, v: F.round(F.avg((F.array_position(x, v) - 1 == F.col("answer_index")).cast("int")), 6)
+    return rows.groupBy("language").agg(hit(n, F.array_max(n)).alias("longest"), hit(n, F.array_min(n)).alias("shortest"), hit(t, F.array_min(t)).alias("alphabetical"))
 
 
 @query("a14_frequency_prior", "flat", sql="""with t as (select object, count(*) as n from flat where language = 'en' and split = 'train' group by 1), o as (select row_id, split, object, unnest([option_a, option_b, option_c, option_d]) as opt from flat where language = 'en'),
@@ -298,10 +301,15 @@ def length_ratio(flat):
     return m.join(F.broadcast(en)).select("language", "med", F.round(F.col("med") / F.col("en"), 6).alias("ratio"))
 
 
-@query("a16_gold_lengths", "flat", sql="select language, round(avg(length(answer_text)), 6) as gold, round(avg((coalesce(length(option_a), 0) + coalesce(length(option_b), 0) + coalesce(length(option_c), 0) + coalesce(length(option_d), 0)) / 4.0), 6) as options, count(*) filter (where length(answer_text) >= greatest(length(option_a), length(option_b), length(option_c), length(option_d))) as longest from flat group by 1")
+@query("a16_gold_lengths", "flat", sql=f"""with r as (select language, {_LENGTHS} as n, answer_index + 1 as g from flat where answer_index between 0 and 3 and option_a is not null and option_b is not null and option_c is not null and option_d is not null)
+ select language, round(avg(n[g]), 6) as gold, round(avg((list_sum(n) - n[g]) / 3.0::double), 6) as distractors, count(*) filter (where n[g] = list_max(n)) as longest from r group by 1""")
 def gold_lengths(flat):
-    o = [F.length(f"option_{x}") for x in "abcd"]
-    return flat.groupBy("language").agg(F.round(F.avg(F.length("answer_text")), 6).alias("gold"), F.round(F.avg(sum((F.coalesce(x, F.lit(0)) for x in o), F.lit(0)) / 4.0), 6).alias("options"), F.count_if(F.length("answer_text") >= F.greatest(*o)).alias("longest"))
+    """Mean length of the gold option and of the three others, and how often no option is longer than the gold one."""
+    o = [f"option_{x}" for x in "abcd"]
+    r = flat.where("answer_index between 0 and 3").na.drop(subset=o).select("language", F.array(*[F.length(x) for x in o]).alias("n"), F.col("answer_index").cast("int").alias("g"))
+    gold = F.get("n", "g")
+    rest = F.aggregate("n", F.lit(0), lambda a, x: a + x) - gold
+    return r.groupBy("language").agg(F.round(F.avg(gold), 6).alias("gold"), F.round(F.avg(rest / 3.0), 6).alias("distractors"), F.count_if(gold == F.array_max("n")).alias("longest"))
 
 
 @query("a17_split_gap", "parallel", sql="""select relation, round(tr, 6) as train_share, round(te, 6) as test_share, round(abs(tr - te), 6) as gap from (select relation, count(*) filter (where split = 'train') * 1.0 / (select count(*) from parallel where split = 'train') as tr, count(*) filter (where split = 'test') * 1.0 / (select count(*) from parallel where split = 'test') as te from parallel group by 1)""")
@@ -386,9 +394,14 @@ def max_record(orders):
     return orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best"), F.max("o_totalprice").alias("price"))
 
 
-@query("a35_common_columns", "flat", sql="select relation from flat where relation is not null group by 1 having count(distinct language) = 12")
+_NULLABLE = ("row_id", "fact_id", "language", "subject", "relation", "object", "question", "option_a", "option_b", "answer_text", "answer_index", "question_verified", "split")
+
+
+@query("a35_common_columns", "flat", sql=" union all ".join(f"select '{c}' as column_name from flat having count({c}) = count(*)" for c in _NULLABLE))
 def common_columns(flat):
-    return flat.where("relation is not null").groupBy("relation").agg(F.countDistinct("language").alias("n")).where("n = 12").select("relation")
+    """The columns that every row has a value in; counted in one pass."""
+    n = flat.agg(rows_().alias("_all"), *[F.count(c).alias(c) for c in _NULLABLE])
+    return n.select(F.explode(F.array_compact(F.array(*[F.when(F.col(c) == F.col("_all"), F.lit(c)) for c in _NULLABLE]))).alias("column_name"))
 
 
 # Windows, sorts and sets
@@ -402,7 +415,7 @@ def packing(documents):
 @query("w3_budget", "documents", sql="select doc_id from (select doc_id, sum(length(text) // 4) over (partition by source order by doc_id rows unbounded preceding) - length(text) // 4 as before from documents where text is not null) where before < 2000")
 def budget(documents):
     x = documents.where("text is not null").select("doc_id", "source", T.estimated_tokens(F.col("text")).alias("n"))
-    return W.budget_cut(x, ["source"], ["doc_id"], "n", 2000).select("doc_id")
+    return W.budget_cut(x, ["source"], ["doc_id"], "n", 2000, W.range_slices(documents, "doc_id")).select("doc_id")
 
 
 @query("w4_first_occurrence", "flat", sql="select row_id from (select row_id, row_number() over (partition by fact_id, language order by row_id) as r from flat) where r = 1")
@@ -412,12 +425,12 @@ def first_occurrence(flat):
 
 @query("w5_full_parts", "documents", sql="select source, part, count(*) as n from (select source, (row_number() over (partition by source order by doc_id) - 1) // 4 as part from documents) group by 1, 2 having count(*) = 4")
 def full_parts(documents):
-    return W.parts(documents.select("source", "doc_id"), ["source"], ["doc_id"], 4, False).groupBy("source", "part").agg(rows_().alias("n"))
+    return W.parts(documents.select("source", "doc_id"), ["source"], ["doc_id"], 4, False, W.range_slices(documents, "doc_id")).groupBy("source", "part").agg(rows_().alias("n"))
 
 
 @query("w6_all_parts", "documents", sql="select source, part, count(*) as n from (select source, (row_number() over (partition by source order by doc_id) - 1) // 4 as part from documents) group by 1, 2")
 def all_parts(documents):
-    return W.parts(documents.select("source", "doc_id"), ["source"], ["doc_id"], 4, True).groupBy("source", "part").agg(rows_().alias("n"))
+    return W.parts(documents.select("source", "doc_id"), ["source"], ["doc_id"], 4, True, W.range_slices(documents, "doc_id")).groupBy("source", "part").agg(rows_().alias("n"))
 
 
 @query("w7_cumulative", "lineitem", sql="select flag, m, (sum(q) over (partition by flag order by m))::bigint as upto from (select l_returnflag as flag, strftime(l_shipdate, '%Y-%m') as m, count(*) as q from lineitem group by 1, 2)")

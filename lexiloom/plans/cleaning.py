@@ -169,6 +169,23 @@ def candidate_gate(flat):
     return flat.groupBy("language", reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("f_required_script_answer", "flat", sql=r"""select row_id from flat where answer_text is not null and not (case language when 'ru' then regexp_matches(answer_text, '\p{Cyrillic}') when 'ar' then regexp_matches(answer_text, '\p{Arabic}') when 'bn' then regexp_matches(answer_text, '\p{Bengali}')
+ when 'ja' then regexp_matches(answer_text, '[\p{Hiragana}\p{Katakana}\p{Han}]') when 'zh' then regexp_matches(answer_text, '\p{Han}') else regexp_matches(answer_text, '\p{Latin}') end)""")
+def required_script_answer(flat):
+    """Answers without a letter of their language's script."""
+    a, s = F.col("answer_text"), T.scripts()
+    need = {"ru": s["cyrillic"], "ar": s["arabic"], "bn": s["bengali"], "ja": r"[\p{IsHiragana}\p{IsKatakana}\p{IsHan}]", "zh": s["han"]}
+    has = F.coalesce(*[F.when(F.col("language") == k, a.rlike(p)) for k, p in need.items()], a.rlike(s["latin"]))
+    return flat.where(a.isNotNull() & ~has).select("row_id")
+
+
+@query("f_length_bounds_answer", "flat", sql="select row_id from flat join (select language, avg(length(answer_text)) as m from flat group by 1) using (language) where length(answer_text) < 0.35 * m or length(answer_text) > 3 * m")
+def length_bounds_answer(flat):
+    m = flat.groupBy("language").agg(F.avg(F.length("answer_text")).alias("m"))  # a row a language
+    n = F.length("answer_text")
+    return flat.join(F.broadcast(m), "language").where((n < 0.35 * F.col("m")) | (n > 3 * F.col("m"))).select("row_id")
+
+
 @query("f_length_bounds", "flat", sql="""select row_id from flat join (select language, avg(length(question)) as m from flat group by 1) using (language) where length(question) < 0.35 * m or length(question) > greatest(3 * m, length(subject) + 20)""")
 def length_bounds(flat):
     m = flat.groupBy("language").agg(F.avg(F.length("question")).alias("m"))  # a row a language

@@ -8,7 +8,6 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
-from lexiloom.operators import metrics as M
 from lexiloom.operators import sampling as S
 from lexiloom.plans.cleaning import NORM
 from lexiloom.plans.registry import query
@@ -145,6 +144,17 @@ def open_proposals(flat):
     return flat.where("question is null and fact_id is not null").select("fact_id", "language").distinct().join(done, ["fact_id", "language"], "left_anti")
 
 
+@query("j20_verdict_join", "flat", "parallel", sql="""with p as (select fact_id, arg_min(translations, row_id) as t from parallel where fact_id is not null group by 1), n as (select fact_id, unnest(map_keys(t)) as language, unnest(map_values(t)).question_verified as v from p)
+ select f.language, count(*) as n, count(*) filter (where question_verified is not distinct from v) as same, count(*) filter (where v is null and question_verified is not null) as missing from flat f join n on f.fact_id = n.fact_id and f.language = n.language group by 1""")
+def verdict_join(flat, parallel):
+    """Verdicts of flat rows against those nested in parallel, by fact and language."""
+    p = parallel.where("fact_id is not null").groupBy("fact_id").agg(F.min(F.struct("row_id", F.map_entries(F.transform_values("translations", lambda k, t: t["question_verified"])).alias("t"))).alias("m"))
+    n = p.select("fact_id", F.inline("m.t")).withColumnsRenamed({"key": "language", "value": "v"})
+    x = flat.select("fact_id", "language", "question_verified").join(n, ["fact_id", "language"])
+    q, v = F.col("question_verified"), F.col("v")
+    return x.groupBy("language").agg(rows_().alias("n"), F.count_if(q.eqNullSafe(v)).alias("same"), F.count_if(v.isNull() & q.isNotNull()).alias("missing"))
+
+
 # Alignment of options by their texts
 
 _PERMS = list(itertools.permutations(range(4)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions.stats import dot, uniform
 from lexiloom.operators import metrics as M
 from lexiloom.operators import sampling as S
+from lexiloom.operators import windows as W
 from lexiloom.operators.bootstrap import paired_bootstrap
 from lexiloom.plans.registry import query
 
@@ -75,9 +76,24 @@ def stratified(documents):
 @query("d9_ratio_split", "documents", sql="select doc_id, case when r <= greatest(1, floor(n * 0.1)) then 'validation' else 'train' end as part from (select doc_id, row_number() over (partition by source order by md5(doc_id || '|42'), doc_id) as r, count(*) over (partition by source) as n from documents)")
 def ratio_split(documents):
     n = documents.groupBy(F.col("source").alias("s")).agg(rows_().alias("n"))
-    r = F.row_number().over(Window.partitionBy("source").orderBy(S.order_key("doc_id", 42), "doc_id"))
-    x = documents.select("doc_id", "source").withColumn("r", r).join(n, F.col("source").eqNullSafe(F.col("s")))
-    return x.select("doc_id", F.when(F.col("r") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.1)), "validation").otherwise("train").alias("part"))
+    rows = documents.select("doc_id", "source", S.order_key("doc_id", 42).alias("h"))
+    x = W.in_order(rows, ["source"], ["h", "doc_id"], W.hash_slices(F.col("h"))).join(n, F.col("source").eqNullSafe(F.col("s")))
+    return x.select("doc_id", F.when(F.col("_nth") <= F.greatest(F.lit(1), F.floor(F.col("n") * 0.1)), "validation").otherwise("train").alias("part"))
+
+
+@query("d14_shards", "documents", sql="select doc_id, floor((row_number() over (order by doc_id) - 1) / ceil(count(*) over () / 8.0))::bigint as shard from documents")
+def shards(documents):
+    """Eight contiguous shards by id, all but the last of the same size."""
+    n = documents.count()
+    x = W.in_order(documents.select("doc_id"), [], ["doc_id"], W.range_slices(documents, "doc_id"))
+    return x.select("doc_id", F.floor((F.col("_nth") - 1) / max(1, -(-n // 8))).alias("shard"))
+
+
+@query("o11_length_batches", "documents", sql="select doc_id, (row_number() over (order by length(text), doc_id) - 1) // 32 as batch from documents where text is not null")
+def length_batches(documents):
+    """Batches of 32 texts of like length; results are keyed by id, so the order costs nothing."""
+    x = documents.where("text is not null").select("doc_id", F.length("text").alias("n"))
+    return W.in_order(x, [], ["n", "doc_id"], W.range_slices(x, "n")).select("doc_id", F.floor((F.col("_nth") - 1) / 32).alias("batch"))
 
 
 @query("d10_simple_sample", "documents", sql="select doc_id from documents order by md5(doc_id || '|7'), doc_id limit 100")
