@@ -10,6 +10,7 @@ from lexiloom.functions.stats import dot, wilson
 from lexiloom.operators import windows as W
 from lexiloom.plans.cleaning import NORM
 from lexiloom.plans.registry import query
+from lexiloom.plans.session import looked_up
 
 
 
@@ -33,13 +34,21 @@ def triples_labels(parallel, labels):
  x as (select property_id, object_id, type, label from o join t on o.object_id = t.id join l on l.id = o.object_id where label is not null)
  select a.property_id, a.object_id, count(distinct b.object_id) as n from x a join x b on a.property_id = b.property_id and a.type = b.type and a.object_id <> b.object_id and abs(length(a.label) - length(b.label)) <= 15 group by 1, 2""")
 def typed_candidates(parallel, entity_types, labels):
+    """Other objects of a property that share a type and whose label is at most 15 characters longer or shorter.
+
+    Objects are counted per (property, set of types, length) first, and only these cells are paired, so the pairs
+    don't grow with the objects.
+    """
     o = parallel.select("property_id", "object_id").where("property_id is not null and object_id is not null").distinct()
-    t = entity_types.select(F.col("id").alias("object_id"), F.explode("types").alias("type")).distinct()
+    t = entity_types.select(F.col("id").alias("object_id"), F.explode("types").alias("type")).groupBy("object_id").agg(F.array_sort(F.collect_set("type")).alias("types"))  # an object's types
     en = labels.groupBy(F.col("id").alias("object_id")).agg(F.max(F.col("labels")["en"]).alias("label")).where("label is not null")
-    x = o.join(t, "object_id").join(en, "object_id").select("property_id", "object_id", "type", F.length("label").alias("n"))
-    y = x.select("property_id", "type", F.col("object_id").alias("other"), F.col("n").alias("m"))
-    pairs = x.join(y, ["property_id", "type"]).where((F.col("object_id") != F.col("other")) & (F.abs(F.col("n") - F.col("m")) <= 15))
-    return pairs.groupBy("property_id", "object_id").agg(F.countDistinct("other").alias("n"))
+    x = o.join(t, "object_id").join(en, "object_id").select("property_id", "object_id", "types", F.length("label").alias("n"))
+    cells = x.groupBy("property_id", "types", "n").agg(rows_().alias("c"))
+    a = cells.select("property_id", "types", "n", F.explode("types").alias("type"))
+    b = cells.select("property_id", F.col("types").alias("others"), F.col("n").alias("m"), "c", F.explode("types").alias("type"))
+    met = a.join(b, ["property_id", "type"]).where(F.abs(F.col("n") - F.col("m")) <= 15).drop("type").distinct()
+    n = met.groupBy("property_id", "types", "n").agg((F.sum("c") - 1).alias("k")).where("k > 0")  # less the object itself
+    return x.join(n, ["property_id", "types", "n"]).select("property_id", "object_id", F.col("k").alias("n"))
 
 
 @query("j5_drop_ids", "flat", sql="select row_id from flat where fact_id is null or fact_id not in (select fact_id from flat where question is null and fact_id is not null)")
@@ -107,6 +116,7 @@ def phrase_join(documents, labels):
     e = labels.select("id", T.norm(F.col("labels")["en"]).alias("phrase")).where("phrase is not null and length(phrase) >= 4").distinct()
     w = F.split(T.norm(F.col("text")), " ")
     g = documents.where("lang = 'en' and text is not null").select("doc_id", w.alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*[T.ngrams(F.col("w"), n) for n in (1, 2, 3)]))).alias("phrase"))
+    g = looked_up(g, e.select("phrase").distinct(), ["phrase"], "left_semi")
     return g.join(e, "phrase").groupBy("id").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
@@ -130,9 +140,10 @@ def phrase_join_all(documents, labels):
 def verbatim_reuse(documents, items):
     words = lambda c: F.explode(F.array(F.split(T.norm(F.col(c)), " "))).alias("w")  # noqa: E731  (a generator's output isn't evaluated again)
     gram = F.explode(T.ngrams(F.col("w"), 8)).alias("g")
-    b = items.where("lang not in ('ja', 'zh')").select("item_id", words("passage")).select("item_id", gram).select("item_id", F.xxhash64("g").alias("h"), "g").distinct()
-    d = documents.where("text is not null").select(words("text")).select(gram).select(F.xxhash64("g").alias("h"), F.col("g").alias("dg"))
-    return b.join(d, (b.h == d.h) & (b.g == d.dg), "left_semi").agg(F.countDistinct("item_id").alias("n_items"))
+    b = items.where("lang not in ('ja', 'zh')").select("item_id", words("passage")).select("item_id", gram).distinct()
+    d = documents.where("text is not null").select(words("text")).select(gram)
+    hit = looked_up(d, b.select("g").distinct(), ["g"], "left_semi").distinct()  # the corpus' runs aren't shuffled
+    return b.join(hit, "g").agg(F.countDistinct("item_id").alias("n_items"))
 
 
 @query("j20_verdicts", "flat", sql="select language, coalesce(question_verified::varchar, 'unreviewed') as verdict, count(*) as n from flat group by 1, 2")
