@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from lexiloom.functions import text as T
 from lexiloom.functions.stats import entropy
 from lexiloom.operators import metrics as M
+from lexiloom.operators import windows as W
 from lexiloom.plans.cleaning import NORM
 from lexiloom.plans.registry import query
 from lexiloom.plans.sampled import JUDGED, predictions, rows_
@@ -334,6 +336,56 @@ def common_noun(flat):
     return x.select("relation", F.round("s", 6).alias("share"), F.coalesce(F.col("s") > 0.15, F.lit(False)).alias("common"))
 
 
+# Packing and validation
+
+
+@query("w2_round_robin_packs", "documents")
+def round_robin_packs(documents):
+    """(lang, chunk, turn, n_texts, n_tokens): packs of each language in the order in which they are emitted, one of
+    each language in turn. Rows without a language are left out; each language is packed in the order of its ids."""
+    packed = W.pack(documents.where("lang is not null"), "lang", "doc_id", "text", 1000)
+    return packed.select("lang", "chunk", F.struct("chunk", "lang").alias("turn"), "n_texts", "n_tokens").orderBy("turn").select("lang", "chunk", "n_texts", "n_tokens")
+
+
+@query("w12_balanced_buckets", "documents", sql="""with g as (select subject_id, sum(coalesce(length(text), 0))::bigint as size from documents where subject_id is not null group by 1), r as (select *, (row_number() over (order by size desc, subject_id) - 1) % 16 as i from g)
+ select subject_id, size, (case when i < 8 then i else 15 - i end)::bigint as bucket from r""")
+def balanced_buckets(documents):
+    """Subjects in eight buckets of like size: largest first, to and fro over the buckets. The least filled bucket of each
+    moment depends on all groups before; this comes as near as the smallest groups are small, without that sequence."""
+    g = documents.where("subject_id is not null").groupBy("subject_id").agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("size")).withColumn("less", -F.col("size"))
+    x = W.in_order(g, [], ["less", "subject_id"], W.range_slices(g, "less")).withColumn("i", (F.col("_nth") - 1) % 16)
+    return x.select("subject_id", "size", F.when(F.col("i") < 8, F.col("i")).otherwise(15 - F.col("i")).cast("bigint").alias("bucket"))
+
+
+#: What a row of the fact table must look like.
+PARALLEL = (
+    "fact_id string, subject string, subject_id string, relation string, property_id string, object string, object_id string, n_langs_verified bigint, translations map<string,struct<question:string,answer_text:string,"
+    "answer_index:bigint,option_a:string,option_b:string,option_c:string,option_d:string,option_ids:array<string>,question_verified:boolean,question_regenerated:boolean>>"
+)
+
+
+def schema_faults(found: DataType, asked: DataType, path: str = "") -> list[tuple[str, str, str]]:
+    """(path, asked, found) of whatever a schema lacks or has of another type, however deep; more fields are no fault."""
+    if isinstance(asked, StructType):
+        if not isinstance(found, StructType):
+            return [(path, "struct", found.simpleString())]
+        have = {f.name: f.dataType for f in found}
+        return [x for f in asked for x in (schema_faults(have[f.name], f.dataType, f"{path}.{f.name}".lstrip(".")) if f.name in have else [(f"{path}.{f.name}".lstrip("."), f.dataType.simpleString(), "missing")])]
+    if isinstance(asked, ArrayType) and isinstance(found, ArrayType):
+        return schema_faults(found.elementType, asked.elementType, path + "[]")
+    if isinstance(asked, MapType) and isinstance(found, MapType):
+        return schema_faults(found.keyType, asked.keyType, path + "{key}") + schema_faults(found.valueType, asked.valueType, path + "{}")
+    return [] if asked == found else [(path, asked.simpleString(), found.simpleString())]
+
+
+@query("n8_schema_faults", "parallel", "flat")
+def faults(parallel, flat):
+    """What the fact table lacks, and what a flat row would lack if it were one."""
+    asked = StructType.fromDDL(PARALLEL)
+    rows = [(name, *x) for name, t in (("parallel", parallel), ("flat", flat)) for x in schema_faults(t.schema, asked)]
+    return parallel.sparkSession.createDataFrame(rows, "table_name string, path string, asked string, found string")
+
+
 # Nested rows
 
 

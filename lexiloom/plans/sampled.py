@@ -24,10 +24,11 @@ FIRST = "(select fact_id, language, arg_min(option_ids, row_id) as ids, min(row_
 JUDGED = f"(select *, ids[list_position(scores, list_aggregate(scores, 'max'))] as pred, list_transform(list_sort(list_transform(list_zip(scores, ids), lambda p: {{'s': -p[1], 'e': p[2]}})), lambda p: p.e) as ranking from (select *, {SCORES} as scores from {FIRST}))"
 
 
-def predictions(flat: DataFrame) -> DataFrame:
+def predictions(flat: DataFrame, *model: str) -> DataFrame:
+    """The first row of each fact and language with scores of a stand-in model; further models are named."""
     gold = F.get("option_ids", F.col("answer_index").cast("int"))
     first = flat.where("fact_id is not null and answer_index is not null").groupBy("fact_id", "language").agg(F.min(F.struct("row_id", F.col("option_ids").alias("ids"), gold.alias("gold"))).alias("m")).select("fact_id", "language", "m.*")
-    scores = F.array(*[uniform(F.col("row_id").cast("string"), F.lit(str(i))) for i in range(4)])
+    scores = F.array(*[uniform(F.col("row_id").cast("string"), F.lit(str(i)), *map(F.lit, model)) for i in range(4)])
     return M.judged(first.withColumn("scores", scores), "ids", "scores", "gold")
 
 
@@ -126,6 +127,18 @@ def bootstrap_paired(flat):
     return paired_bootstrap(v, "fact_id", "x", "language").select(F.col("model_a").alias("lang_a"), F.col("model_b").alias("lang_b"), F.col("n").alias("n_facts"), *[F.round(c, 6).alias(c) for c in ("point", "low", "high", "p")])
 
 
+@query("m20_significance", "flat")
+def significance(flat):
+    """Two models over the facts that both judged: accuracy, total consistency and agreement on one entity, with the
+    difference, its 95 % interval and two-sided p from draws of facts that the models share (10,000)."""
+    found = None
+    for metric, of in (("accuracy", F.avg(F.col("correct").cast("int"))), ("all right", F.bool_and("correct").cast("int")), ("agreement", (F.countDistinct("pred") == 1).cast("int"))):
+        runs = [predictions(flat, *m).where("gold is not null").groupBy("fact_id").agg(of.cast("double").alias("x")).withColumn("model", F.lit(name)) for name, m in (("base", ()), ("tuned", ("tuned",)))]
+        b = paired_bootstrap(runs[0].union(runs[1]), "fact_id", "x", "model").select(F.lit(metric).alias("metric"), "model_a", "model_b", F.col("n").alias("n_facts"), *[F.round(c, 6).alias(c) for c in ("point", "low", "high", "p")])
+        found = b if found is None else found.union(b)
+    return found
+
+
 @query("d17_coin_flip", "parallel", sql="select row_id, (('0x' || substr(md5(row_id || '|3'), 1, 8))::bigint % 2)::int as side from parallel")
 def coin_flip(parallel):
     return parallel.select("row_id", (F.conv(F.substring(S.order_key("row_id", 3), 1, 8), 16, 10).cast("bigint") % 2).cast("int").alias("side"))

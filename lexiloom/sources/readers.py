@@ -70,3 +70,32 @@ def read_metric_tree(spark: SparkSession, path: str, metric: str) -> DataFrame:
     df = spark.read.schema(f"{metric} double").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     run = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+(?:/checkpoint-[0-9]+)?)/[^/]+\.json$", 1), "/checkpoint-[0-9]+$", "")
     return df.select(run.alias("run"), F.col(metric).alias("value")).where("value is not null").groupBy("run").agg(F.max("value").alias("value"))
+
+
+def read_tagged_results(spark: SparkSession, pattern: str, schema: str, suffix: str = "_consistency.json") -> DataFrame:
+    """(tag, *schema): one row a result file named {tag}{suffix}."""
+    df = spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("_f", F.input_file_name())
+    tag = F.regexp_extract("_f", r"([^/]+)" + suffix.replace(".", r"\.") + "$", 1)
+    return df.select(tag.alias("tag"), *[c for c in df.columns if c != "_f"]).where("tag <> ''")
+
+
+def read_nested_scores(spark: SparkSession, pattern: str, parents: list[str], metric: str) -> DataFrame:
+    """(run, parent, score, n): the mean of a metric over each parent's tasks, from files `results: {task: {metric: x}}`.
+
+    A task belongs to the longest parent that its name begins with; tasks of no parent and null scores are left out.
+    """
+    df = spark.read.schema("results map<string,map<string,double>>").option("multiLine", True).json(pattern)
+    x = df.select(F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1).alias("run"), F.explode("results").alias("task", "scores")).withColumn("score", F.col("scores")[metric])
+    parent = F.coalesce(*[F.when(F.col("task").startswith(p), F.lit(p)) for p in sorted(parents, key=len, reverse=True)])
+    return x.select("run", parent.alias("parent"), "score").where("parent is not null and score is not null").groupBy("run", "parent").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"))
+
+
+def read_talks(spark: SparkSession, path: str) -> DataFrame:
+    """(ord, talk_id, para_data): a file of talks, one object a line, with their place in it."""
+    df = spark.read.schema("talk_id string, para_data map<string,string>").option("mode", "FAILFAST").json(path)
+    return df.select(F.monotonically_increasing_id().alias("ord"), "talk_id", "para_data")
+
+
+def not_yet_fetched(wanted: DataFrame, cache: DataFrame, key: str) -> DataFrame:
+    """The distinct keys that a cache doesn't hold: what a lookup has to ask for."""
+    return wanted.where(F.col(key).isNotNull()).select(key).distinct().join(cache.select(key), key, "left_anti")

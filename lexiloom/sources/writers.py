@@ -58,3 +58,21 @@ def latex_table(df: DataFrame, key: str, most: int = 1000) -> str:
 def summary(df: DataFrame, bulky: tuple[str, ...]) -> DataFrame:
     """A result without its bulky columns."""
     return df.drop(*bulky)
+
+
+def write_sidecar(df: DataFrame, path: str, **facts: str) -> None:
+    """A one-row JSON report beside a table: its rows, columns and whatever else is stated."""
+    stated = [F.lit(v).alias(k) for k, v in sorted(facts.items())]
+    df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.array(*map(F.lit, df.columns)).alias("columns"), *stated).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_whole(df: DataFrame, path: str) -> None:
+    """Parquet that readers see whole or not at all: written beside `path`, then renamed in its place."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    part, final = jvm.org.apache.hadoop.fs.Path(path + ".part"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(path + ".part")
+    fs.delete(final, True)
+    if not fs.rename(part, final):
+        raise OSError(f"{path} could not be put in place")
