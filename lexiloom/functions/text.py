@@ -108,18 +108,26 @@ def fill_template(template: Column, subject: Column) -> Column:
     return F.rtrim(F.replace(F.replace(template, F.lit("<subject>"), subject), F.lit("<mask>"), F.lit("")))
 
 
-def answer_letter(prediction: Column, options: list[Column]) -> Column:
-    """The letter that a prediction means: the option's text, a bare letter, the only option it contains,
-    or a letter before a separator; null where none of them tells."""
-    letters = "ABCDEFGH"[: len(options)]
+def answer_letter(prediction: Column, options: list[Column], letters: bool = True) -> Column:
+    """The letter that a prediction means: the option's text, the only option that it contains, or the only one
+    that contains it (from three characters); with `letters` also a bare letter, or one before a separator. Null
+    where none of them tells."""
+    names = "ABCDEFGH"[: len(options)]
     p = squeeze(prediction)
-    exact = F.coalesce(*[F.when(p == squeeze(o), F.lit(x)) for x, o in zip(letters, options)])
-    bare = F.when(F.length(p) == 1, F.when(F.upper(p).isin(*letters), F.upper(p)))
-    held = [(F.length(squeeze(o)) > 0) & F.contains(p, squeeze(o)) for o in options]
-    count = sum((F.coalesce(h, F.lit(False)).cast("int") for h in held), F.lit(0))
-    only = F.when(count == 1, F.coalesce(*[F.when(h, F.lit(x)) for x, h in zip(letters, held)]))
-    lead = F.upper(F.regexp_extract(p, rf"^\(?([{letters.lower()}])[).:\s]", 1))
-    return F.coalesce(exact, bare, only, F.when(lead != "", lead))
+    own = [squeeze(o) for o in options]
+
+    def only(hits: list[Column]) -> Column:
+        count = sum((F.coalesce(h, F.lit(False)).cast("int") for h in hits), F.lit(0))
+        return F.when(count == 1, F.coalesce(*[F.when(h, F.lit(x)) for x, h in zip(names, hits)]))
+
+    exact = F.coalesce(*[F.when(p == o, F.lit(x)) for x, o in zip(names, own)])
+    held = only([(F.length(o) > 0) & F.contains(p, o) for o in own])
+    holding = only([(F.length(p) >= 3) & F.contains(o, p) for o in own])
+    if not letters:
+        return F.coalesce(exact, held, holding)
+    bare = F.when(F.length(p) == 1, F.when(F.upper(p).isin(*names), F.upper(p)))
+    lead = F.upper(F.regexp_extract(p, rf"^\(?([{names.lower()}])[).:\s]", 1))
+    return F.coalesce(exact, bare, held, holding, F.when(lead != "", lead))
 
 
 def is_correct(prediction: Column, gold: Column) -> Column:

@@ -272,9 +272,20 @@ def correct(flat):
     return flat.select("row_id", F.coalesce(T.is_correct(F.col("answer_text"), F.col("object")), F.lit(False)).alias("correct"))
 
 
-@query("t_answer_letter", "flat")
+_SQUEEZED = r"trim(regexp_replace(lower({}), '[ \t\n\v\f\r]+', ' ', 'g'))"
+_ONLY = "case when {n} = 1 then case " + " ".join(f"when {{h{i}}} then '{x}'" for i, x in enumerate("ABCD")) + " end end"
+
+
+def _only(hit: str) -> str:
+    hits = [f"coalesce({hit.format(o=f'o{i}')}, false)" for i in range(4)]
+    return _ONLY.format(n=" + ".join(f"({h})::int" for h in hits), **{f"h{i}": h for i, h in enumerate(hits)})
+
+
+@query("t_answer_letter", "flat", sql=f"""select row_id, coalesce(case when p = o0 then 'A' when p = o1 then 'B' when p = o2 then 'C' when p = o3 then 'D' end, {_only("length({o}) > 0 and contains(p, {o})")}, {_only("length(p) >= 3 and contains({o}, p)")}) as letter
+ from (select row_id, {_SQUEEZED.format('answer_text')} as p, {", ".join(_SQUEEZED.format(f"option_{x}") + f" as o{i}" for i, x in enumerate("abcd"))} from flat)""")
 def answer_letter(flat):
-    return flat.select("row_id", T.answer_letter(F.col("answer_text"), [F.col(f"option_{x}") for x in "abcd"]).alias("letter"))
+    """The option that an answer means by its text; a mere letter resolves to none."""
+    return flat.select("row_id", T.answer_letter(F.col("answer_text"), [F.col(f"option_{x}") for x in "abcd"], letters=False).alias("letter"))
 
 
 @query("t_byte_length", "documents", sql="select lang, sum(greatest(1, strlen(text)))::bigint as bytes, sum(length(text) // 4)::bigint as est_tokens from documents where text is not null group by 1")

@@ -159,13 +159,13 @@ def verdict_join(flat, parallel):
 
 _PERMS = list(itertools.permutations(range(4)))
 _BIGRAMS = "list_distinct(list_transform(range(1, greatest(1, length({0})) + 1), lambda i: substr({0}, i, 2)))"
-_ROWS = """r as (select fact_id, language, arg_min({a: option_a, b: option_b, c: option_c, d: option_d}, row_id) as o, arg_min(answer_index, row_id) as gold from flat
+_ROWS = """r as (select fact_id, language, arg_min({a: option_a, b: option_b, c: option_c, d: option_d, g: answer_index}, row_id) as o from flat
  where fact_id is not null and option_a is not null and option_b is not null and option_c is not null and option_d is not null group by 1, 2),
- n as (select fact_id, language, gold, """ + ", ".join(f"{NORM.format(f'o.{c}')} as t{i}" for i, c in enumerate("abcd")) + """ from r),
+ n as (select fact_id, language, o.g as gold, """ + ", ".join(f"{NORM.format(f'o.{c}')} as t{i}" for i, c in enumerate("abcd")) + """ from r),
  k as (select *, """ + ", ".join(_BIGRAMS.format(f"t{i}") + f" as g{i}" for i in range(4)) + """ from n),
  j as (select x.fact_id, x.language, e.gold as eg, x.gold as xg, """ + ", ".join(f"e.t{i} as et{i}, x.t{i} as xt{i}, e.g{i} as eg{i}, x.g{i} as xg{i}" for i in range(4)) + """ from k x join k e on x.fact_id = e.fact_id where e.language = 'en' and x.language <> 'en')"""
-_LIKE = "(len(list_intersect(eg{0}, xg{1}))::double / len(list_distinct(list_concat(eg{0}, xg{1}))))"
-_SCORE = "(coalesce(case when eg = {0} and xg = {1} then 1000 end, 0) + (case when et{0} = xt{1} then 100 else 0 end) + " + _LIKE + ")"
+_LIKE = "((len(list_intersect(eg{0}, xg{1})) * 1000000) // len(list_distinct(list_concat(eg{0}, xg{1}))))"
+_SCORE = "(coalesce(case when eg = {0} and xg = {1} then 1000000000 end, 0) + (case when et{0} = xt{1} then 100000000 else 0 end) + " + _LIKE + ")"
 
 
 def bigrams(c: Column) -> Column:
@@ -185,12 +185,12 @@ def paired_options(flat):
 
 
 def likeness(i: int, j: int) -> Column:
-    a, b = F.col(f"eg{i}"), F.col(f"xg{j}")
-    return F.size(F.array_intersect(a, b)).cast("double") / F.size(F.array_union(a, b))
+    """Shared bigrams of all that either text has, in whole millionths, so that sums and ties are exact."""
+    return F.expr(f"size(array_intersect(eg{i}, xg{j})) * 1000000L div size(array_union(eg{i}, xg{j}))")
 
 
 @query("j12_option_assignment", "flat", sql=f"""with {_ROWS}, s as (select fact_id, language, {", ".join(_SCORE.format(i, j) + f" as s{i}{j}" for i in range(4) for j in range(4))} from j)
- select fact_id, language, list_sort([{", ".join(f"{{'t': -round({' + '.join(f's{i}{j}' for i, j in enumerate(p))}, 6), 'k': {n}, 'p': '{','.join(map(str, p))}'}}" for n, p in enumerate(_PERMS))}])[1].p as slots from s""")
+ select fact_id, language, list_sort([{", ".join(f"{{'t': -({' + '.join(f's{i}{j}' for i, j in enumerate(p))}), 'k': {n}, 'p': '{','.join(map(str, p))}'}}" for n, p in enumerate(_PERMS))}])[1].p as slots from s""")
 def option_assignment(flat):
     """Each English option's position in the other language's row: the gold answers belong together, then equal
     normalised texts do, and the rest is the assignment of largest bigram overlap, which the last pair follows from.
@@ -198,20 +198,20 @@ def option_assignment(flat):
     The three stages are one sum over the 24 permutations, as each weighs more than all that come after it.
     """
     x = paired_options(flat)
-    score = lambda i, j: F.coalesce(F.when((F.col("eg") == i) & (F.col("xg") == j), 1000), F.lit(0)) + F.when(F.col(f"et{i}") == F.col(f"xt{j}"), 100).otherwise(0) + likeness(i, j)
+    score = lambda i, j: F.coalesce(F.when((F.col("eg") == i) & (F.col("xg") == j), 1_000_000_000), F.lit(0)) + F.when(F.col(f"et{i}") == F.col(f"xt{j}"), 100_000_000).otherwise(0) + likeness(i, j)
     s = x.select("fact_id", "language", *[score(i, j).alias(f"s{i}{j}") for i in range(4) for j in range(4)])
-    every = [F.struct((-F.round(sum((F.col(f"s{i}{j}") for i, j in list(enumerate(p))[1:]), F.col(f"s0{p[0]}")), 6)).alias("t"), F.lit(n).alias("k"), F.lit(",".join(map(str, p))).alias("p")) for n, p in enumerate(_PERMS)]
+    every = [F.struct((-sum((F.col(f"s{i}{j}") for i, j in list(enumerate(p))[1:]), F.col(f"s0{p[0]}"))).alias("t"), F.lit(n).alias("k"), F.lit(",".join(map(str, p))).alias("p")) for n, p in enumerate(_PERMS)]
     return s.select("fact_id", "language", F.array_min(F.array(*every))["p"].alias("slots"))
 
 
-_GREEDY = "list_sort([" + ", ".join(f"{{'t': -round({_LIKE.format(i, j)}, 6), 'i': {i}, 'j': {j}}}" for i in range(4) for j in range(4)) + "])"
+_GREEDY = "list_sort([" + ", ".join(f"{{'t': -{_LIKE.format(i, j)}, 'i': {i}, 'j': {j}}}" for i in range(4) for j in range(4)) + "])"
 
 
 @query("j13_greedy_alignment", "flat", sql=f"""with {_ROWS}, a as (select fact_id, language, {_GREEDY} as l from j), b as (select *, list_filter(l, lambda p: p.i <> l[1].i and p.j <> l[1].j) as m from a), c as (select *, list_filter(m, lambda p: p.i <> m[1].i and p.j <> m[1].j) as n from b), d as (select *, list_filter(n, lambda p: p.i <> n[1].i and p.j <> n[1].j) as o from c)
  select fact_id, language, array_to_string(list_transform(list_sort([l[1].i * 10 + l[1].j, m[1].i * 10 + m[1].j, n[1].i * 10 + n[1].j, o[1].i * 10 + o[1].j]), lambda x: x % 10), ',') as slots from d""")
 def greedy_alignment(flat):
     """The same by repeatedly taking the most alike pair that is left, the first by position on a tie."""
-    pairs = F.array_sort(F.array(*[F.struct((-F.round(likeness(i, j), 6)).alias("t"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(4) for j in range(4)]))
+    pairs = F.array_sort(F.array(*[F.struct((-likeness(i, j)).alias("t"), F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(4) for j in range(4)]))
     x = paired_options(flat).select("fact_id", "language", pairs.alias("l0"))
     for n in range(3):
         x = x.withColumn(f"l{n + 1}", F.expr(f"filter(l{n}, p -> p.i <> l{n}[0].i and p.j <> l{n}[0].j)"))
