@@ -120,6 +120,15 @@ def target_rank(flat):
     return p.select("row_id", F.size(F.filter("scores", lambda s: s > F.col("own"))).alias("rank"))
 
 
+@query("m23_layer_shares", "embeddings", sql="""with e as (select label, generate_subscripts(embedding, 1) - 1 as head, unnest(embedding)::double as v from embeddings), m as (select label, head, round(avg(v), 9) as v from e group by 1, 2), t as (select label, head // 8 as layer from (select *, row_number() over (partition by label order by v desc, head) as r from m) where r <= 10)
+ select label, layer, round(10.0 * count(*), 4)::double as pct from t group by 1, 2""")
+def layer_shares(embeddings):
+    """How the ten positions of largest mean of each label fall into layers of eight, in per cent."""
+    m = embeddings.select("label", F.posexplode("embedding").alias("head", "v")).groupBy("label", "head").agg(F.round(F.avg(F.col("v").cast("double")), 9).alias("v"))
+    t = m.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("v"), "head"))).where("r <= 10")
+    return t.groupBy("label", F.floor(F.col("head") / 8).alias("layer")).agg((10.0 * rows_()).alias("pct"))
+
+
 # Aggregates
 
 _TEMPLATE = "replace(question, subject, '[X]')"
@@ -260,6 +269,24 @@ def first_subjects(documents):
     return d.join(r, d.s.eqNullSafe(r.source) & (d.i == r.subject_id), "left_semi").select("doc_id")
 
 
+@query("s27_language_budget", "documents", sql="""select lang, count(*) as n, sum(least(n, 5000 - before))::bigint as n_tokens from (select lang, n, sum(n) over (partition by lang order by doc_id rows unbounded preceding) - n as before from (select lang, doc_id, length(text) // 4 as n from documents where text is not null and lang is not null)) where before < 5000 group by 1""")
+def language_budget(documents):
+    """Texts of each language up to 5,000 estimated tokens; the one that crosses the budget is cut there."""
+    x = documents.where("text is not null and lang is not null").select("lang", "doc_id", T.estimated_tokens(F.col("text")).alias("n"))
+    x = W.in_order(x, ["lang"], ["doc_id"], W.range_slices(documents, "doc_id"), "n").where("_before < 5000")
+    return x.groupBy("lang").agg(rows_().alias("n"), F.sum(F.least(F.col("n"), 5000 - F.col("_before"))).alias("n_tokens"))
+
+
+@query("s9_aligned_rows", "flat", "parallel", sql="""with f as (select fact_id, language, row_number() over (partition by fact_id, language order by row_id) as i, question as q from flat where fact_id is not null), p as (select fact_id, row_number() over (partition by fact_id order by row_id) as i, translations as t from parallel where fact_id is not null),
+ n as (select fact_id, i, unnest(map_keys(t)) as language, unnest(map_values(t)).question as q from p) select f.language, count(*) as n, count(*) filter (where f.q is not distinct from n.q) as equal from f join n on f.fact_id = n.fact_id and f.language = n.language and f.i = n.i group by 1""")
+def aligned_rows(flat, parallel):
+    """The n-th row of a fact in one table beside the n-th in the other, whatever the layout of either: how many questions agree."""
+    at = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("row_id"))
+    f = flat.where("fact_id is not null").select("fact_id", "language", at("fact_id", "language").alias("i"), F.col("question").alias("q"))
+    n = parallel.where("fact_id is not null").select("fact_id", at("fact_id").alias("i"), "translations").select("fact_id", "i", F.explode("translations").alias("language", "t")).select("fact_id", "i", "language", F.col("t.question").alias("p"))
+    return f.join(n, ["fact_id", "language", "i"]).groupBy("language").agg(rows_().alias("n"), F.count_if(F.col("q").eqNullSafe(F.col("p"))).alias("equal"))
+
+
 @query("u2_extend", "documents", "eval_items", sql="select 'documents' as origin, count(*) as n, sum(length(text))::bigint as n_chars from documents where text is not null union all select benchmark_name, count(*), sum(length(passage))::bigint from eval_items where passage is not null group by 1")
 def extend(documents, items):
     """Texts of several sources under one schema, with their origin."""
@@ -328,6 +355,13 @@ def parse_candidates(flat):
     return x.select("row_id", F.when(ok, F.size(F.split("s", "', '"))).otherwise(0).alias("n"))
 
 
+@query("f_mask", "flat", sql="select row_id, question from flat where question_verified is not false and question is not null and answer_index is not null")
+def mask(flat):
+    """Rows whose flags hold; the schema stays as it is."""
+    keep = F.coalesce("question_verified", F.lit(True)) & F.col("question").isNotNull() & F.col("answer_index").isNotNull()
+    return flat.where(keep).select("row_id", "question")
+
+
 @query("f_common_noun", "flat", sql="""select relation, round(avg((substr(object, 1, 1) = lower(substr(object, 1, 1)))::int), 6) as share, coalesce(avg((substr(object, 1, 1) = lower(substr(object, 1, 1)))::int) > 0.15, false) as common from flat where language = 'en' and object <> '' group by 1""")
 def common_noun(flat):
     """Relations whose objects are common nouns: more than 0.15 of their English labels begin in lower case."""
