@@ -10,8 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables of at most so many rows go to every task whole; beyond, both sides are shuffled by salted keys.
-SMALL, SALT = 200_000, 16
+#: Tables of at most so many rows and bytes go to every task whole; beyond, both sides are shuffled by salted keys.
+SMALL, SMALL_BYTES, SALT = 200_000, 64 << 20, 16
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -30,8 +30,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def is_small(df: DataFrame, small: int = SMALL) -> bool:
-    """Whether a table, which should be checkpointed or a plain scan, has at most `small` rows."""
-    return df.limit(small + 1).count() <= small
+    """Whether a table, which should be checkpointed or a plain scan, has at most `small` rows and SMALL_BYTES bytes."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, size = df.limit(small + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= small and size <= SMALL_BYTES
 
 
 def looked_up(rows: DataFrame, known: DataFrame, keys: Sequence[str], how: str = "inner", fits: bool | None = None) -> DataFrame:

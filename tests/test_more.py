@@ -42,6 +42,13 @@ def test_lookups_agree_however_large_the_table(spark, fits, how):
     assert got == sorted(map(str, rows.join(known, "k", how).collect()))
 
 
+def test_small_tables_are_small_in_rows_and_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([("a" * 100, None), (None, {"k": 1})], "k string, m map<string,int>")
+    assert session.is_small(df) and session.is_small(df.limit(0)) and not session.is_small(df, 1)
+    monkeypatch.setattr(session, "SMALL_BYTES", 50)
+    assert not session.is_small(df)
+
+
 def test_schema_faults(spark):
     asked = StructType.fromDDL(PARALLEL)
     assert schema_faults(spark.read.parquet(f"{SF}/parallel.parquet").schema, asked) == []
